@@ -258,3 +258,54 @@ def table(rows: list[tuple]) -> pa.Table:
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part of each 64-bit key, from its high bits, so that sorted keys have sorted parts."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+#: Bytes of text that are turned into words and hashes at a time, which bounds memory within a block.
+SLICE = 1 << 20
+
+
+def block_words(column, lower: bool, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts in order: the hash of each word, its text's number, and where each text's words begin."""
+    buf, offsets = text_buffer(column)
+    hashes, docs, counts = [], [], []
+    for a, b in slices(offsets, SLICE):
+        w = Words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        if hashed:
+            hashes.append(w.hashes())
+        docs.append(w.doc + a)
+        counts.append(np.diff(w.at))
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return join(hashes, np.uint64), join(docs, np.int64), np.concatenate([[0], np.cumsum(join(counts, np.int64))])
+
+
+def keys_of(data: pa.Table, kind: int = 0) -> list[tuple[int, int, np.ndarray]]:
+    """(part, block, keys) of each row of that kind, by part."""
+    cols = [data.column(c).to_pylist() for c in ("part", "block", "kind", "data")]
+    return sorted(((p, b, np.frombuffer(d, np.uint64)) for p, b, k, d in zip(*cols) if k == kind), key=lambda x: x[:2])
+
+
+def bits_of(data: pa.Table, kind: int, counts: np.ndarray) -> np.ndarray:
+    """One bit for each key of a block, sorted by key: the answers of all parts, of which counts says how many keys each got."""
+    cols = [data.column(c).to_pylist() for c in ("part", "kind", "data")]
+    got = {p: d for p, k, d in zip(*cols) if k == kind}
+    found = [np.unpackbits(np.frombuffer(got[p], np.uint8), count=int(n)) for p, n in enumerate(counts) if n]
+    return np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
+
+
+def repeated(sorted_keys: np.ndarray) -> np.ndarray:
+    """The distinct keys that occur more than once."""
+    same = sorted_keys[1:] == sorted_keys[:-1]
+    return np.unique(sorted_keys[1:][same])
+
+
+def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array of."""
+    if not len(of):
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(of, keys)
+    at[at == len(of)] = 0
+    return of[at] == keys
+
+
+def ordered(docs: pa.Table) -> pa.Table:
+    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
