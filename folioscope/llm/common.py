@@ -243,11 +243,9 @@ LOOKUP = "part int, block int, kind int, data binary"
 
 
 def pack(parts: np.ndarray, keys: np.ndarray, block: int, kind: int = 0) -> list[tuple]:
-    """keys (in any order) as one row for each part; within a part they stay sorted as given."""
-    order = np.argsort(parts, kind="stable")
-    p, k = parts[order], keys[order]
-    edges = np.flatnonzero(np.diff(p)) + 1
-    return [(int(x[0]), block, kind, np.ascontiguousarray(y).tobytes()) for x, y in zip(np.split(p, edges), np.split(k, edges)) if len(x)]
+    """Sorted keys, whose parts are sorted too, as one row for each part."""
+    edges = np.flatnonzero(np.diff(parts)) + 1
+    return [(int(x[0]), block, kind, squeeze(y)) for x, y in zip(np.split(parts, edges), np.split(keys, edges)) if len(x)]
 
 
 def table(rows: list[tuple]) -> pa.Table:
@@ -281,7 +279,7 @@ def block_words(column, lower: bool, hashed: bool = True) -> tuple[np.ndarray, n
 def keys_of(data: pa.Table, kind: int = 0) -> list[tuple[int, int, np.ndarray]]:
     """(part, block, keys) of each row of that kind, by part."""
     cols = [data.column(c).to_pylist() for c in ("part", "block", "kind", "data")]
-    return sorted(((p, b, np.frombuffer(d, np.uint64)) for p, b, k, d in zip(*cols) if k == kind), key=lambda x: x[:2])
+    return sorted(((p, b, expand(d)) for p, b, k, d in zip(*cols) if k == kind), key=lambda x: x[:2])
 
 
 def bits_of(data: pa.Table, kind: int, counts: np.ndarray) -> np.ndarray:
@@ -309,3 +307,30 @@ def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def ordered(docs: pa.Table) -> pa.Table:
     return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers with their bytes side by side by place, so that the high ones, mostly zero, compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
+def from_planes(data, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def squeeze(sorted_keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return planes(np.diff(sorted_keys, prepend=np.uint64(0)))
+
+
+def expand(data) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark drops them once the driver has collected their handles."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
