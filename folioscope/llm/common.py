@@ -334,3 +334,8 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def asked(keys: np.ndarray, parts: int) -> np.ndarray:
+    """How many of the keys go to each part."""
+    return np.bincount(part_of(keys, parts), minlength=parts)

@@ -130,7 +130,7 @@ def tails_of(path: str, window: int, end_id: int, with_ids: bool):
                     whole = [raw[4 * i : 4 * (i + window)] for i in range(0, n - n % window, window)]
                     cols["doc_tokens"].append(n)
                     cols["chunk_crcs"].append([zlib.crc32(x) for x in whole])
-                    cols["chunk_ids"].append(whole if with_ids else None)
+                    cols["chunk_ids"].append([np.frombuffer(x, "<u4").astype(small).tobytes() for x in whole] if with_ids else None)
                     cols["first_chunk"].append(chunks)
                     tail = n % window
                     cols["tail"].append(tail)
@@ -254,6 +254,17 @@ def cut_tails(window: int, small: str, with_ids: bool):
     return run
 
 
+def widen(small: str):
+    """Whole windows with ids of 32 bits."""
+
+    def run(batches):
+        for batch in batches:
+            ids = [None if x is None else np.frombuffer(x, small).astype("<u4").tobytes() for x in batch.column(7).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(ids, pa.binary())], names=list(PIECES))
+
+    return run
+
+
 PIECES = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()}
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -292,4 +303,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     per_task = per_task.select("task", F.coalesce(F.sum("chunks").over(Window.partitionBy().orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     full = rows.filter(F.size("chunk_crcs") > 0).join(per_task, "task").select("doc_id", "doc_tokens", (F.col("earlier") + F.col("first_chunk") + last).alias("base"), "chunk_ids", F.posexplode("chunk_crcs").alias("i", "crc"))
     full = full.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("base") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.expr("get(chunk_ids, i)").alias("ids"))
-    return placed.unionByName(full)
+    return placed.unionByName(full.mapInArrow(widen(small), PIECES_DDL) if with_ids else full)

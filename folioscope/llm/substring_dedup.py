@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import LOOKUP, bits_of, block_words, grams, in_blocks, keys_of, member, ordered, pack, part_of, repeated, ship, table, within
+from folioscope.llm.common import LOOKUP, asked, bits_of, block_words, grams, in_blocks, keys_of, member, ordered, pack, part_of, repeated, ship, table, within
 
 #: A perfect difference cover: every residue modulo 13 is a difference of two of these.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -47,10 +47,6 @@ def windows(h, doc, at, spots, marked) -> tuple[np.ndarray, np.ndarray]:
     return starts, grams(h, WINDOW)[starts]
 
 
-def asked(keys: np.ndarray, parts: int) -> np.ndarray:
-    return np.bincount(part_of(keys, parts), minlength=parts)
-
-
 def first_round(parts: int):
     def ask(docs: pa.Table) -> pa.Table:
         docs = ordered(docs)

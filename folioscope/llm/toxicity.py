@@ -277,3 +277,23 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     field = train(docs, labels, is_training(F.col("__id")))
     held = F.coalesce(~is_training(F.col("doc_id")), F.lit(False))
     return score_documents(docs, field).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_words", "spans")
+
+
+def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
+    """The documents that score below a half, with all their columns; no row is moved."""
+    ship(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(field)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column(place))
+            keep = []
+            for a, b in slices(offsets, SLICE):
+                h, doc, at, *_ = word_keys(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                z = model.value.logits(emission_keys(h, at[:-1][np.diff(at) > 0]), at)
+                keep.append(model.value.score(summary(z, doc, at)[0]) < 0.5)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
