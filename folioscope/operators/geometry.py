@@ -141,14 +141,15 @@ class Pages:
     of bad topology only adds an issue.
     """
 
-    def __init__(self, raw: DataFrame):
-        """raw: page_id, text, width, height."""
+    def __init__(self, raw: DataFrame, keep=DataFrame.persist):
+        """raw: page_id, text, width, height. keep holds the parsed pages, which several results share, so that no text is parsed twice."""
         data = raw.withColumn("v", unwrap_json(F.col("text")))
         data = data.select("page_id", "width", "height", F.transform(_get(F.col("v"), "regions", "array<variant>"), _region).alias("regions"), F.transform(_get(F.col("v"), "tables", "array<variant>"), _table).alias("tables"))
         good_box = lambda b: box_valid(b, SPACE_SIZE, SPACE_SIZE)
         good_item = lambda x: x["text"].isNotNull() & good_box(x["bbox"])
         ok = F.forall("regions", good_item) & F.forall("tables", lambda t: good_box(t["bbox"]) & F.coalesce(F.forall(t["cells"], good_item), F.lit(False)))
         data = data.withColumn("ok", F.coalesce(F.col("regions").isNotNull() & F.col("tables").isNotNull() & ok, F.lit(False)))
+        self.parsed = data = keep(data)
         sound = data.filter("ok")
         place = lambda b: scale_box(b, F.col("width"), F.col("height"))
         self.lines = sound.select("page_id", "width", "height", F.posexplode("regions").alias("pos", "r")).select("page_id", "pos", F.col("r.text").alias("text"), place(F.col("r.bbox")).alias("bbox"))

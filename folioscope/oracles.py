@@ -62,8 +62,9 @@ SELECT conv_id, turn, CAST(d[-1] AS BIGINT) AS edits{{more}} FROM rows_ WHERE i
 
 # ------------------------------------------------------------ tables
 CELLS = """cells{n} AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, (l_linenumber - 1) // 2 AS row_, (l_linenumber - 1) % 2 AS col_,
-  CASE WHEN l_partkey % 9 = {n} THEN 2 ELSE 1 END AS cs, trim(concat_ws(' ', l_returnflag, CASE WHEN l_suppkey % 7 = {n} THEN 'x' END, l_linestatus)) AS text FROM lineitem)"""
-TABLE_SCORE = f"""WITH {CELLS.format(n=0)}, {CELLS.format(n=1)}, p AS (SELECT * FROM cells1 WHERE pos <> 3),
+  CASE WHEN l_partkey % 9 = {n} THEN 2 ELSE 1 END AS cs, trim(concat_ws(' ', l_returnflag, CASE WHEN l_suppkey % 7 = {n} THEN 'x' END, l_linestatus)) AS text FROM {src})"""
+ONCE = """lines_once AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) = 1)"""
+TABLE_SCORE = f"""WITH {ONCE}, {CELLS.format(n=0, src='lines_once')}, {CELLS.format(n=1, src='lines_once')}, p AS (SELECT * FROM cells1 WHERE pos <> 3),
 j AS (SELECT t.table_id, t.cs, t.text AS expected, coalesce(p.text, '') AS got, p.cs AS pcs FROM cells0 t LEFT JOIN p ON t.table_id = p.table_id AND t.row_ = p.row_ AND t.col_ = p.col_),
 a AS (SELECT table_id, count(*) FILTER (expected = got) AS cell_exact, count(*) AS cell_total, CAST(sum(length(expected)) AS BIGINT) AS reference_characters,
   CAST(sum(levenshtein(expected, got)) AS BIGINT) AS character_edits, count(*) FILTER (cs = pcs) AS matching_cell_spans FROM j GROUP BY 1),
@@ -73,15 +74,16 @@ n AS (SELECT table_id, count(*) AS k FROM p GROUP BY 1)
 SELECT table_id, cell_exact, cell_total, reference_characters, character_edits, character_edits / CAST(reference_characters AS DOUBLE) AS cer, matching_cell_spans,
   coalesce(k, 0) AS predicted_cells, coalesce(tp, 0) AS true_positive, coalesce(fp, 0) AS false_positive, coalesce(fn, 0) AS false_negative
 FROM a LEFT JOIN m USING (table_id) LEFT JOIN n USING (table_id)"""
-TABLE_VALIDATE = f"""WITH {CELLS.format(n=0)},
+TABLE_VALIDATE = f"""WITH {CELLS.format(n=0, src='lineitem')},
+w AS (SELECT table_id, count(*) > count(DISTINCT pos) AS twins FROM cells0 GROUP BY 1),
 o AS (SELECT a.table_id, bool_or(a.col_ + a.cs > 2) AS outside, bool_or(b.pos IS NOT NULL) AS overlap FROM cells0 a
   LEFT JOIN cells0 b ON a.table_id = b.table_id AND a.row_ = b.row_ AND a.pos < b.pos AND a.col_ + a.cs > b.col_ AND b.col_ + b.cs <= 2 AND a.col_ + a.cs <= 2 GROUP BY 1)
-SELECT table_id, CASE WHEN outside THEN 'cell span outside table' WHEN overlap THEN 'overlapping cell spans' END AS error FROM o"""
+SELECT table_id, CASE WHEN outside THEN 'cell span outside table' WHEN twins THEN 'duplicate cell anchor' WHEN overlap THEN 'overlapping cell spans' END AS error FROM o JOIN w USING (table_id)"""
 BOXES = """boxes AS (SELECT vec_id, [x, y, x + abs(CAST(embedding[3] AS DOUBLE) + 1) * 0 + abs((CAST(embedding[3] AS DOUBLE) + 1) * 400) / 2, y + abs((CAST(embedding[4] AS DOUBLE) + 1) * 400) / 2 - 40] AS b
   FROM (SELECT *, (CAST(embedding[1] AS DOUBLE) + 1) * 400 AS x, (CAST(embedding[2] AS DOUBLE) + 1) * 400 AS y FROM embeddings))"""
 BOX_OK = "b[1] >= 0 AND b[1] < b[3] AND b[3] <= {w} AND b[2] >= 0 AND b[2] < b[4] AND b[4] <= {h}"
-GEOMETRY = """WITH c AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, (l_linenumber - 1) * 100.0 AS top,
-  l_linenumber * 100.0 - CASE WHEN l_partkey % 11 = 0 THEN 30.0 WHEN l_partkey % 7 = 0 THEN 1.0 ELSE 0.0 END AS bottom FROM lineitem WHERE l_linenumber <= 4),
+GEOMETRY = f"""WITH {ONCE}, c AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, (l_linenumber - 1) * 100.0 AS top,
+  l_linenumber * 100.0 - CASE WHEN l_partkey % 11 = 0 THEN 30.0 WHEN l_partkey % 7 = 0 THEN 1.0 ELSE 0.0 END AS bottom FROM lines_once WHERE l_linenumber <= 4),
 t AS (SELECT table_id, max(pos) AS n, count(*) AS k FROM c GROUP BY 1),
 e AS (SELECT c.table_id, bool_or(abs(d.top - c.bottom) > n * 100.0 * 0.02) AS off FROM c JOIN t USING (table_id) LEFT JOIN c d ON c.table_id = d.table_id AND d.pos = c.pos + 1 GROUP BY 1)
 SELECT table_id, NOT coalesce(off, false) AND n = k AS topology_valid FROM t JOIN e USING (table_id)"""
