@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BASE, SLICE, Words, fold_of, mix, powers, prefix_hash, ship, slices, text_buffer
+from folioscope.llm.common import SLICE, Words, fold_of, mix, powers, prefix_hash, ship, slices, text_buffer
 from folioscope.llm.labelled import labelled_sample
 
-SAMPLE = 3000
+SAMPLE = 1200
 CHAIN = 64
 BUCKETS = 1 << 20
 OPENINGS = (4, 5, 6, 7, 8)
@@ -37,19 +37,19 @@ LETTERS = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256
 
 
 def word_keys(buf: np.ndarray, offsets: np.ndarray):
-    """Runs of letters and digits, lower-cased: hashes of each word and its openings, text number, first word of each text, byte spans."""
+    """Runs of letters and digits, lower-cased: 32-bit hashes of each word and its openings, text number, first word of each text, byte spans."""
     w = Words(LETTERS[buf], offsets, True)
     p = prefix_hash(w.buf)
     _, down = powers(len(w.buf) + 1)
     hashes = [w.hashes()]
     for k in OPENINGS:
         hashes.append(mix((p[np.minimum(w.start + k, w.end)] - p[w.start]) * down[w.start] + np.uint64(k << 40)))
-    return np.stack(hashes, 1), w.doc, w.at, w.start, w.end
+    return np.stack([(h >> np.uint64(32)).astype(np.uint32) for h in hashes], 1), w.doc, w.at, w.start, w.end
 
 
 def emission_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The buckets of each word and its openings, and of the word before it (a fixed one at the start)."""
-    own = (h >> np.uint64(20)).astype(np.int32) & (BUCKETS - 1)
+    own = (h & np.uint32(BUCKETS - 1)).astype(np.int32)
     before = np.empty(len(own), np.int32)
     before[1:] = own[:-1, 0] ^ 0x55555
     before[first] = BUCKETS - 1
@@ -177,7 +177,7 @@ def largest(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def marks(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which words (or openings, given as hashes) mark toxic documents, by the likelihood ratio of document frequencies."""
-    _, once = np.unique(mix(h ^ (doc.astype(np.uint64) * BASE)), return_index=True)
+    _, once = np.unique(h.astype(np.uint64) | doc.astype(np.uint64) << np.uint64(32), return_index=True)
     words, where = np.unique(h[once], return_inverse=True)
     bad = y[doc[once]] == 1
     k1, k0 = np.bincount(where, bad, len(words)), np.bincount(where, ~bad, len(words))
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int =
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["words"])))
     shares = {r["q"]: r["n"] for r in labels.withColumn("__id", F.col("doc_id").cast("long")).filter(is_training & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
-    return fitted([np.frombuffer(r["words"], np.uint64).reshape(-1, 1 + len(OPENINGS)) for r in rows], np.array([r["label"] for r in rows], int), shares.get(1, 0) / total if total else 0.0)
+    return fitted([np.frombuffer(r["words"], np.uint32).reshape(-1, 1 + len(OPENINGS)) for r in rows], np.array([r["label"] for r in rows], int), shares.get(1, 0) / total if total else 0.0)
 
 
 def fitted(each: list[np.ndarray], y: np.ndarray, share: float) -> Field:
