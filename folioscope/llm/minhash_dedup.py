@@ -31,6 +31,7 @@ GROUP = 2048
 PERCENT = 75
 #: A class with a thousandth of all rows is hot; there are at most so many.
 HOT_SHARE = 1000
+FILTER_BITS = 1 << 23
 
 _RNG = np.random.default_rng(52)
 FLIP = _RNG.integers(0, 2**32, SIDES * TABLES * ROWS, dtype=np.uint32)
@@ -147,6 +148,19 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     return keyed.join(least, "key").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
 
 
+def maybe_member(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows whose id may be among ids: all that are, and others by chance, so that few texts move in the join that decides.
+
+    The bitmap has FILTER_BITS bits whatever the number of ids: at most FILTER_BITS / 64 rows are broadcast.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    word = lambda c: F.floor(bit(c) / 64).cast("int")
+    mask = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (bit(c) % 64).cast("int"))
+    bits = ids.select(word(ids.columns[0]).alias("__word"), mask(ids.columns[0]).alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__mask"))
+    near = rows.withColumn("__word", word(column)).join(F.broadcast(bits), "__word")
+    return near.filter(F.col("__mask").bitwiseAND(mask(column)) != 0).select(*rows.columns)
+
+
 def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, d1, d2), and classes (d1, d2, n, id, size, component) of those that have shingles and an id."""
     spark = docs.sparkSession
@@ -163,7 +177,8 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(spark)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / GROUP).cast("int").alias("chunks"))
     dealt = groups.join(sizes, "component").select("id", F.col("component").alias("grp"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
-    texts = plain.join(dealt, plain["doc_id"] == dealt["id"]).select(F.col("id"), "text", "grp", "chunk", "chunks")
+    likely = maybe_member(plain, "doc_id", dealt.select("id"))
+    texts = likely.join(dealt.hint("merge"), likely["doc_id"] == dealt["id"]).select(F.col("id"), "text", "grp", "chunk", "chunks")
     sets = texts.mapInArrow(gather_sets, "id long, grp long, chunk int, chunks int, shingles binary")
     # small groups share tasks; a large one is dealt as pairs of chunks
     bins = max(partitions(spark), 1) * 4
