@@ -9,7 +9,9 @@ hash is an anchor, and equal windows have equal anchors at equal places. Three r
    token: HEAD bytes, the bytes up to LENGTH, the bytes before the anchor that its windows may hold), and neighbours are
    compared. Equal in all tokens, all windows around the anchor repeat. Splitters may part suffixes with equal
    leading tokens: a bucket then compares its ends with the splitters at its borders. Equal suffixes are never parted.
-3. Where suffixes agree in the leading token only, each window is a suffix and goes the same way, by its two tokens.
+3. Where suffixes agree in the leading token only, a bucket gets the REACH bytes on both sides of each distinct one and compares
+   all windows around the anchor among them. Suffixes of a leading token with more than CROWD others are not brought
+   together: each of their windows is a suffix of its own and goes through round 2's way, by its two tokens.
 
 A block of documents sends each bucket its distinct suffixes once and gets two bits for each, so a passage of a third of all
 texts is one suffix a block, and removed runs are found where the text is.
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import LOOKUP, SLICE, asked, bits_of, expand, from_planes, in_blocks, keys_of, member, mix, pack, part_of, planes, powers, prefix_hash, repeated, ship, slices, squeeze, table, text_buffer
+from folioscope.llm.common import BYTE_VALUE, LOOKUP, SLICE, asked, bits_of, expand, from_planes, in_blocks, keys_of, member, mix, ordered, pack, part_of, planes, powers, prefix_hash, repeated, ship, slices, squeeze, table, text_buffer
 
 LENGTH = 400
 HEAD = 320
 REACH = LENGTH - HEAD  # how far before its anchor a window may start
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+CROWD = 4096
 #: Tokens of at most so many suffixes are sampled for splitters.
 SAMPLE = 20_000
 
@@ -154,11 +157,13 @@ def received(data: bytes, width: int) -> np.ndarray:
 
 
 def sort_bucket(width: int, splitters: np.ndarray):
-    """For each block's suffixes two bits: another block has it too; another suffix shares its leading token."""
+    """For each block's suffixes three bits: another block has it too; another suffix shares its leading token; more than CROWD do."""
 
     def run(data: pa.Table) -> pa.Table:
         rows = list(zip(*[data.column(c).to_pylist() for c in ("part", "block", "kind", "data")]))
-        out = [r for r in rows if r[2]]
+        out = [r for r in rows if r[2] not in (0, 4)]
+        near = [r for r in rows if r[2] == 4]
+        out += compare_contexts(near) if near else []
         mine = [(p, b, received(d, width)) for p, b, k, d in rows if not k]
         if not mine:
             return table(out)
@@ -167,6 +172,8 @@ def sort_bucket(width: int, splitters: np.ndarray):
         mixed = np.zeros(len(suffixes), bool)
         mixed[:-1] |= common > 0
         mixed[1:] |= common > 0
+        head = np.cumsum(np.concatenate([[0], common == 0]))
+        crowded = np.bincount(head)[head] > CROWD
         bucket = mine[0][0]
         for s in splitters[max(bucket - 1, 0) : bucket + 1]:  # what lies beyond a border may share the leading token
             mixed |= suffixes[:, 0] == s[0]
@@ -174,17 +181,17 @@ def sort_bucket(width: int, splitters: np.ndarray):
         for p, b, t in mine:
             i = where[at : at + len(t)]
             at += len(t)
-            out.append((p, b, 0, np.packbits(np.concatenate([times[i] > 1, mixed[i]])).tobytes()))
+            out.append((p, b, 0, np.packbits(np.concatenate([times[i] > 1, mixed[i], crowded[i]])).tobytes()))
         return table(out)
 
     return run
 
 
-def reply(answers: pa.Table, tokens: np.ndarray, splitters: np.ndarray, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def reply(answers: pa.Table, tokens: np.ndarray, splitters: np.ndarray, kind: int = 0) -> tuple[np.ndarray, ...]:
     counts = np.bincount(buckets(tokens, splitters), minlength=len(splitters) + 1)
     got = {p: d for p, k, d in zip(*[answers.column(c).to_pylist() for c in ("part", "kind", "data")]) if k == kind}
-    bits = [np.unpackbits(np.frombuffer(got[p], np.uint8), count=2 * int(n)).reshape(2, -1).astype(bool) for p, n in enumerate(counts) if n]
-    return tuple(np.concatenate(bits, 1)) if bits else (np.zeros(0, bool), np.zeros(0, bool))
+    bits = [np.unpackbits(np.frombuffer(got[p], np.uint8), count=3 * int(n)).reshape(3, -1).astype(bool) for p, n in enumerate(counts) if n]
+    return tuple(np.concatenate(bits, 1)) if bits else (np.zeros(0, bool),) * 3
 
 
 def state(answers: pa.Table, kind: int) -> np.ndarray:
@@ -195,6 +202,71 @@ def keep_state(block: int, parts: int, kind: int, bits: np.ndarray) -> tuple:
     return (block % parts, block, kind, np.packbits(bits).tobytes())
 
 
+# ---------------------------------------------------------------- contexts of anchors
+class Contexts:
+    """Distinct contexts of anchors: the head's digest, REACH bytes before it and after it (as far as the text goes)."""
+
+    def __init__(self, heads: np.ndarray, raw: np.ndarray, parts: int):
+        key = np.concatenate([heads.astype(">u8").view(np.uint8).reshape(-1, 8), raw], 1)
+        rows, self.where, self.times = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_inverse=True, return_counts=True)
+        rows = rows.view(np.uint8).reshape(-1, key.shape[1])
+        self.heads, self.raw = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64), rows[:, 8:]
+        self.part = part_of(self.heads, parts)
+
+    def send(self, block: int) -> list[tuple]:
+        edges = [0, *(np.flatnonzero(np.diff(self.part)) + 1), len(self.part)]
+        return [(int(self.part[a]), block, 4, np.uint32(b - a).tobytes() + squeeze(self.heads[a:b]) + (self.times[a:b] > 1).astype(np.uint8).tobytes() + self.raw[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+
+
+SIDES = 2 * REACH + 2  # two lengths, then the bytes on both sides
+
+
+def sides(s: Slice, at: np.ndarray) -> np.ndarray:
+    """Of anchors: how many bytes there are before and after (REACH at most), and these bytes."""
+    left, right = np.minimum(at - s.begin[at], REACH), np.minimum(s.end[at] - at - HEAD, REACH)
+    step = np.arange(REACH)
+    out = np.zeros((len(at), SIDES), np.uint8)
+    out[:, 0], out[:, 1] = left, right
+    before = s.buf[np.maximum(at[:, None] - REACH + step, 0)]
+    after = s.buf[np.minimum(at[:, None] + HEAD + step, len(s.buf) - 1)]
+    out[:, 2 : 2 + REACH] = np.where(step >= REACH - left[:, None], before, 0)
+    out[:, 2 + REACH :] = np.where(step < right[:, None], after, 0)
+    return out
+
+
+def windows_around(heads: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A digest of each of the REACH + 1 windows around a head, the earliest first, and whether the text has it."""
+    up, down = powers(2 * REACH + 1)
+    j = np.arange(REACH + 1)  # part of the digest: the head stands elsewhere in each
+    p = np.zeros((len(raw), 2 * REACH + 1), np.uint64)
+    np.cumsum(BYTE_VALUE[raw[:, 2:]] * up[: 2 * REACH], axis=1, out=p[:, 1:])
+    keys = mix((p[:, REACH:] - p[:, : REACH + 1]) * down[: REACH + 1] + mix(heads.copy())[:, None] + mix(j.astype(np.uint64)))
+    return keys, (j >= REACH - raw[:, :1].astype(int)) & (j <= raw[:, 1:2].astype(int))
+
+
+def compare_contexts(rows: list[tuple]) -> list[tuple]:
+    """For each block's contexts, which of their windows occur elsewhere too."""
+    got = []
+    for p, b, _, d in rows:
+        n = int(np.frombuffer(d[:4], np.uint32)[0])
+        got.append((p, b, expand(d[4 : 4 + 8 * n]), np.frombuffer(d[4 + 8 * n : 4 + 9 * n], np.uint8) > 0, np.frombuffer(d[4 + 9 * n :], np.uint8).reshape(n, SIDES)))
+    keys, there = windows_around(np.concatenate([g[2] for g in got]), np.concatenate([g[4] for g in got]))
+    again = member(keys.ravel(), repeated(np.sort(keys[there]))).reshape(keys.shape) | np.concatenate([g[3] for g in got])[:, None]
+    again &= there
+    out, at = [], 0
+    for p, b, h, *_ in got:
+        out.append((p, b, 4, np.packbits(again[at : at + len(h)]).tobytes()))
+        at += len(h)
+    return out
+
+
+def context_reply(answers: pa.Table, c: Contexts, parts: int) -> np.ndarray:
+    counts = np.bincount(c.part, minlength=parts)
+    got = {p: d for p, k, d in zip(*[answers.column(x).to_pylist() for x in ("part", "kind", "data")]) if k == 4}
+    bits = [np.unpackbits(np.frombuffer(got[p], np.uint8), count=(REACH + 1) * int(n)).reshape(-1, REACH + 1) for p, n in enumerate(counts) if n]
+    return np.concatenate(bits).astype(bool)[c.where] if bits else np.zeros((0, REACH + 1), bool)
+
+
 # ---------------------------------------------------------------- the three rounds, on a block
 def block_anchors(docs: pa.Table) -> np.ndarray:
     return np.concatenate([s.heads for *_, s in block_slices(docs)] or [np.zeros(0, np.uint64)])
@@ -212,24 +284,43 @@ def anchor_suffixes(docs: pa.Table, marked: np.ndarray):
     return (np.concatenate(rows), np.concatenate(rooms)) if rows else (np.zeros((0, 3), np.uint64), np.zeros(0, bool))
 
 
-def decided(docs: pa.Table, marked: np.ndarray, twice: np.ndarray, sends: np.ndarray):
+def chosen_contexts(docs: pa.Table, marked: np.ndarray, near: np.ndarray, parts: int) -> Contexts:
+    heads, raw, at, base = [np.zeros(0, np.uint64)], [np.zeros((0, SIDES), np.uint8)], 0, 0
+    for *_, s in block_slices(docs):
+        some = marked[at : at + len(s.anchors)]
+        at += len(s.anchors)
+        mine, own = s.anchors[some], s.heads[some]
+        pick = near[base : base + len(mine)]
+        base += len(mine)
+        heads.append(own[pick])
+        raw.append(sides(s, mine[pick]))
+    return Contexts(np.concatenate(heads), np.concatenate(raw), parts)
+
+
+def decided(docs: pa.Table, marked: np.ndarray, twice: np.ndarray, sends: np.ndarray, near: np.ndarray | None = None, found: np.ndarray | None = None):
     """By slice: starts of windows that repeat for their anchor's sake, and of those that go to the third round with their tokens."""
-    at = base = 0
+    at = base = seen = 0
     for a, b, s in block_slices(docs):
         mine = s.anchors[marked[at : at + len(s.anchors)]]
         at += len(s.anchors)
         sure, ask = twice[base : base + len(mine)], sends[base : base + len(mine)]
+        certain = s.windows(mine[sure])
+        if found is not None:
+            pick = mine[near[base : base + len(mine)]]
+            i, j = np.nonzero(found[seen : seen + len(pick)])
+            seen += len(pick)
+            certain = np.union1d(certain, pick[i] - REACH + j)
         base += len(mine)
         starts = s.windows(mine[ask])
         tokens = np.stack([s.digest(starts, HEAD), s.digest(starts + HEAD, REACH)], 1) if len(starts) else np.zeros((0, 2), np.uint64)
-        yield a, b, s, s.windows(mine[sure]), starts, tokens
+        yield a, b, s, certain, starts, tokens
 
 
 def rounds(parts: int, splitters: np.ndarray):
     buckets_ = len(splitters) + 1
 
     def ask1(docs: pa.Table) -> pa.Table:
-        keys = np.unique(block_anchors(docs))
+        keys = np.unique(block_anchors(ordered(docs)))
         return table(pack(part_of(keys, parts), keys, docs.column("block")[0].as_py()))
 
     def answer1(data: pa.Table) -> pa.Table:
@@ -240,6 +331,7 @@ def rounds(parts: int, splitters: np.ndarray):
     def ask2(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return table([])
+        docs = ordered(docs)  # what is kept by place needs the same order in each round
         block = docs.column("block")[0].as_py()
         distinct, where, times = np.unique(block_anchors(docs), return_inverse=True, return_counts=True)
         marked = (bits_of(answers, 0, asked(distinct, parts)) | (times > 1))[where] if len(where) else np.zeros(0, bool)
@@ -249,24 +341,30 @@ def rounds(parts: int, splitters: np.ndarray):
     def ask3(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return table([])
+        docs = ordered(docs)
         block = docs.column("block")[0].as_py()
         marked = state(answers, 1)
         tokens, room = anchor_suffixes(docs, marked)
         distinct, where, times = distinct_rows(tokens)
-        elsewhere, mixed = reply(answers, distinct, splitters)
-        twice, sends = np.zeros(len(where), bool), np.zeros(len(where), bool)
+        elsewhere, mixed, crowded = reply(answers, distinct, splitters)
+        twice, sends, near = (np.zeros(len(where), bool) for _ in range(3))
         if len(where):
             twice = (elsewhere | (times > 1))[where] & room
             first = np.zeros(len(where), bool)
             first[np.unique(where, return_index=True)[1]] = True
-            sends = ~twice | first & mixed[where]  # of suffixes that are sure one stands for all as a partner
+            open_ = ~twice | first & mixed[where]  # of suffixes that are sure one stands for all as a partner
+            sends, near = open_ & crowded[where], open_ & ~crowded[where]
         rows = distinct_rows(np.concatenate([t for *_, t in decided(docs, marked, twice, sends)] or [np.zeros((0, 2), np.uint64)]))[0]
-        return table([*send(rows, splitters, block), *(keep_state(block, buckets_, k, x) for k, x in ((1, marked), (2, twice), (3, sends)))])
+        context = chosen_contexts(docs, marked, near, buckets_)
+        return table([*send(rows, splitters, block), *context.send(block), *(keep_state(block, buckets_, k, x) for k, x in ((1, marked), (2, twice), (3, sends), (5, near)))])
 
     def apply(docs: pa.Table, answers: pa.Table) -> pa.Table:
         cols: dict[str, list] = {k: [] for k in RESULT}
         if docs.num_rows:
-            each = [(a, b, s.buf, s.offsets, *rest) for a, b, s, *rest in decided(docs, *(state(answers, k) for k in (1, 2, 3)))]
+            docs = ordered(docs)
+            marked, twice, sends, near = (state(answers, k) for k in (1, 2, 3, 5))
+            around = context_reply(answers, chosen_contexts(docs, marked, near, buckets_), buckets_)
+            each = [(a, b, s.buf, s.offsets, *rest) for a, b, s, *rest in decided(docs, marked, twice, sends, near, around)]
             distinct, where, times = distinct_rows(np.concatenate([t for *_, t in each]))
             elsewhere = reply(answers, distinct, splitters)[0]
             again = (elsewhere | (times > 1))[where] if len(where) else np.zeros(0, bool)
@@ -308,6 +406,8 @@ def sample_suffixes(batches):
 
 def sample_splitters(docs: DataFrame, parts: int, rows: int) -> np.ndarray:
     """parts - 1 rows of two tokens, from suffixes of a bounded sample of documents. They set the layout only, never a result."""
+    if parts <= 1:
+        return np.zeros((0, 2), np.uint64)
     every = max(1, rows // 2000)  # rows is a guess: what is too many is cut by SAMPLE
     few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
     found = few.mapInArrow(sample_suffixes, "head long, after long").limit(SAMPLE).collect()
