@@ -29,6 +29,9 @@ INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 # ---------------------------------------------------------------- session
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder, or one of our own where it is unset."""
@@ -40,10 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Once the table is there the shuffle files behind it have no use; Spark drops them at the end of the write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -339,3 +350,15 @@ def release(spark: SparkSession) -> None:
 def asked(keys: np.ndarray, parts: int) -> np.ndarray:
     """How many of the keys go to each part."""
     return np.bincount(part_of(keys, parts), minlength=parts)
+
+
+def shrink(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def grow(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)

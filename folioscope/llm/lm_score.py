@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BASE, LOOKUP, block_words, expand, fold_of, from_planes, in_blocks, materialize, mix, part_of, planes, release, ship, squeeze, table
+from folioscope.llm.common import BASE, LOOKUP, block_words, expand, fold_of, from_planes, grow, in_blocks, materialize, mix, part_of, planes, release, ship, shrink, squeeze, table
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 ADDED = 0.1
 FOLDS, OUT, DEV = 10, 0, 1
 BUCKETS = 26
@@ -68,12 +68,12 @@ def ask(parts: int):
         starts = np.full(len(folds), START & ~ONE)
         keys = np.concatenate([own, pair, starts])
         every = np.concatenate([of, of, folds])
-        distinct, where = np.unique(keys, return_inverse=True)
-        core = np.bincount(where, (every != OUT) & (every != DEV), len(distinct)).astype(np.uint32)
-        dev = np.bincount(where, every == DEV, len(distinct)).astype(np.uint32)
+        distinct = np.unique(keys)
+        count = lambda chosen: np.bincount(np.searchsorted(distinct, keys[chosen]), minlength=len(distinct)).astype(np.uint32)
+        core, dev = count((every != OUT) & (every != DEV)), count(every == DEV)
         part = part_of(distinct, parts)
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
-        rows = [(int(part[a]), block, 0, squeeze(distinct[a:b]) + planes(core[a:b]) + planes(dev[a:b])) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+        rows = [(int(part[a]), block, 0, squeeze(distinct[a:b]) + shrink(planes(core[a:b]) + planes(dev[a:b])) + np.uint32(b - a).tobytes()) for a, b in zip(edges[:-1], edges[1:]) if b > a]
         asked = np.unique(keys[every == DEV])
         part = part_of(asked, parts)
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
@@ -85,22 +85,27 @@ def ask(parts: int):
 def answer(data: pa.Table) -> pa.Table:
     """Corpus counts (core, and all training) of each block's keys; kind 2: tokens and distinct tokens of core and of all."""
     rows = list(zip(*[data.column(c).to_pylist() for c in ("part", "block", "kind", "data")]))
-    keys, core, dev = [], [], []
+    keys, core, every = [], [], []
     for _, _, kind, d in rows:
         if kind == 0:
-            n = len(d) // 16
+            n = int(np.frombuffer(d[-4:], np.uint32)[0])
             keys.append(expand(d[: 8 * n]))
-            core.append(from_planes(d[8 * n : 12 * n], np.uint32))
-            dev.append(from_planes(d[12 * n :], np.uint32))
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    core = np.bincount(where, np.concatenate(core), len(distinct)).astype(np.uint64)
-    every = core + np.bincount(where, np.concatenate(dev), len(distinct)).astype(np.uint64)
-    out, start = [], 0
+            counts = grow(d[8 * n : -4])
+            core.append(from_planes(counts[: 4 * n], np.uint32))
+            every.append(from_planes(counts[4 * n :], np.uint32))
+    distinct = np.unique(np.concatenate(keys))
+    total, whole = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
+    for k, c, d in zip(keys, core, every):  # the keys of one block are distinct
+        at = np.searchsorted(distinct, k)
+        total[at] += c
+        whole[at] += d
+    core, every = total, total + whole
+    out = []
     it = iter(keys)
     for p, b, kind, d in rows:
         mine = next(it) if kind == 0 else expand(d)
         at = np.searchsorted(distinct, mine)
-        out.append((p, b, kind, planes(core[at]) + planes(every[at])))
+        out.append((p, b, kind, shrink(planes(core[at]) + planes(every[at]))))
     token = (distinct & ONE) == ONE
     sums = np.array([core[token].sum(), (core[token] > 0).sum(), every[token].sum(), (every[token] > 0).sum()], np.uint64)
     return table([*out, (rows[0][0], -1, 2, sums.tobytes())])
@@ -108,7 +113,7 @@ def answer(data: pa.Table) -> pa.Table:
 
 def answers(table_: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """Core and full counts of a block's sorted keys."""
-    got = sorted((p, d) for p, k, d in zip(*[table_.column(c).to_pylist() for c in ("part", "kind", "data")]) if k == kind)
+    got = sorted((p, grow(d)) for p, k, d in zip(*[table_.column(c).to_pylist() for c in ("part", "kind", "data")]) if k == kind)
     half = [len(d) // 2 for _, d in got]
     join = lambda x: np.concatenate(x).astype(float) if x else np.zeros(0)
     return join([from_planes(d[:n], np.uint64) for (_, d), n in zip(got, half)]), join([from_planes(d[n:], np.uint64) for (_, d), n in zip(got, half)])
