@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import SLICE, Words, fold_of, mix, powers, prefix_hash, ship, slices, text_buffer
 from folioscope.llm.labelled import labelled_sample
 
-SAMPLE = 1200
+SAMPLE = 1000
 CHAIN = 64
 BUCKETS = 1 << 20
 OPENINGS = (4, 5, 6, 7, 8)
@@ -214,7 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int =
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["words"])))
     shares = {r["q"]: r["n"] for r in labels.withColumn("__id", F.col("doc_id").cast("long")).filter(is_training & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
-    return fitted([np.frombuffer(r["words"], np.uint32).reshape(-1, 1 + len(OPENINGS)) for r in rows], np.array([r["label"] for r in rows], int), shares.get(1, 0) / total if total else 0.0)
+    y = np.array([r["label"] for r in rows], int)
+    each = [np.frombuffer(r["words"], np.uint32).reshape(-1, 1 + len(OPENINGS)) for r in rows]
+    rows.clear()
+    return fitted(each, y, shares.get(1, 0) / total if total else 0.0)
 
 
 def fitted(each: list[np.ndarray], y: np.ndarray, share: float) -> Field:
@@ -224,7 +227,8 @@ def fitted(each: list[np.ndarray], y: np.ndarray, share: float) -> Field:
         return field
     at = np.concatenate([[0], np.cumsum([len(x) for x in each])])
     h = np.concatenate(each)
-    doc = np.repeat(np.arange(len(each)), np.diff(at))
+    each.clear()  # the driver's memory holds the sample once
+    doc = np.repeat(np.arange(len(y)), np.diff(at))
     tags = toxic_tags(h, doc, y)
     keys = emission_keys(h, at[:-1][np.diff(at) > 0])
     field.fit(keys, at, tags.astype(float))
