@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values -------------------------------------------------------------
 #: Unicode white space as a Java class: ASCII space, the four separators, next line, and the Unicode space categories.
@@ -62,34 +65,43 @@ def critical_reading(c) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(CHANGE), F.lit(0))
 
 
+@F.pandas_udf(T.StructType([T.StructField("edits", T.IntegerType()), T.StructField("critical_errors", T.IntegerType())]))
+def _edit_counts(references: pd.Series, predictions: pd.Series) -> pd.DataFrame:
+    weighty = np.array(sorted(map(ord, CRITICAL)), np.uint32)
+    edit, lost, added = 1 << 34, 1 << 32, 2 << 32  # a cell: edits, two bits for the way, critical errors
+    out = []
+    for reference, prediction in zip(references, predictions):
+        if reference is None or prediction is None:
+            out.append((None, None))
+            continue
+        a, b = (np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (reference, prediction))
+        n, m, back = len(a), len(b), b[::-1]
+        loss = edit + np.isin(a, weighty).astype(np.int64)  # of a character of the reference that is replaced or lost
+        before = last = np.zeros(n + 1, np.int64)  # by characters of the reference: the two diagonals before
+        for k in range(1, n + m + 1):
+            row = np.empty(n + 1, np.int64)
+            if k <= m:
+                row[0] = k * edit
+            if k <= n:
+                row[k] = last[k - 1] + loss[k - 1]
+            lo, hi = max(1, k - m), min(n, k - 1) + 1
+            if lo < hi:
+                best = before[lo - 1 : hi - 1] + (a[lo - 1 : hi - 1] != back[m - k + lo : m - k + hi]) * loss[lo - 1 : hi - 1]
+                np.minimum(best, last[lo - 1 : hi - 1] + loss[lo - 1 : hi - 1] + lost, out=best)
+                np.minimum(best, last[lo:hi] + (edit + added), out=best)
+                row[lo:hi] = best & ~(lost | added)
+            before, last = last, row
+        out.append((int(last[n]) >> 34, int(last[n]) & (lost - 1)))
+    return pd.DataFrame(out, columns=["edits", "critical_errors"]).astype("Int32")
+
+
 def edit_counts(reference, prediction) -> Column:
     """struct(edits, critical_errors) of one alignment: on ties a substitution, then a loss, then an insertion.
 
-    A critical character of the reference that is replaced or lost is an error; an insertion never is. Each character of
-    the reference folds the row of the one before it, so that two rows are alive at a time.
+    A critical character of the reference that is replaced or lost is an error; an insertion never is. The matrix is
+    filled by its diagonals, three of which are alive at a time.
     """
-    ref, pred = F.split(_col(reference), ""), F.split(_col(prediction), "")
-    ref, pred = (F.filter(x, lambda c: c != "") for x in (ref, pred))
-    cell = lambda d, c: F.struct(d.cast("int").alias("d"), c.cast("int").alias("c"))
-    first = F.transform(F.sequence(F.lit(0), F.size(pred)), lambda j: cell(j, F.lit(0)))
-
-    def next_row(row: Column, char: Column) -> Column:
-        weight = F.contains(F.lit(CRITICAL), char).cast("int")
-        start = F.array(cell(row[0]["d"] + 1, row[0]["c"] + weight))
-
-        def step(done: Column, other: Column) -> Column:
-            j = F.size(done)
-            differs = (char != other).cast("int")
-            aligned = cell(F.get(row, j - 1)["d"] + differs, F.get(row, j - 1)["c"] + differs * weight)
-            lost = cell(F.get(row, j)["d"] + 1, F.get(row, j)["c"] + weight)
-            added = cell(F.get(done, j - 1)["d"] + 1, F.get(done, j - 1)["c"])
-            best = F.when((aligned["d"] <= lost["d"]) & (aligned["d"] <= added["d"]), aligned).when(lost["d"] <= added["d"], lost).otherwise(added)
-            return F.concat(done, F.array(best))
-
-        return F.aggregate(pred, start, step)
-
-    last = F.element_at(F.aggregate(ref, first, next_row), -1)
-    return F.struct(last["d"].alias("edits"), last["c"].alias("critical_errors"))
+    return _edit_counts(_col(reference), _col(prediction))
 
 
 def character_width(c, size: Column | float, latin: Column | float) -> Column:

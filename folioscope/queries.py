@@ -135,8 +135,8 @@ def check_rollup(spark, sf):
 # ---------------------------------------------------------------- edits
 def turn_pairs(spark, sf) -> DataFrame:
     line = Window.partitionBy("conv_id").orderBy("turn")
-    c = load(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 20).alias("reference"), F.substring(F.lead("text").over(line), 1, 20).alias("prediction"))
-    return c.filter("prediction is not null")
+    c = load(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("reference"), F.lead("text").over(line).alias("prediction"))
+    return c.filter("prediction is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
 
 
 @query
