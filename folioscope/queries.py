@@ -326,7 +326,7 @@ def budget_share(spark, sf):
 # ---------------------------------------------------------------- literals
 def plans(spark, sf) -> DataFrame:
     """Two spans in each text: characters 3 to 7, and 10 to 10 + n of twenty."""
-    d = load(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
+    d = load(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     span = lambda a, b: F.struct(F.lit(a).alias("start"), b.cast("int").alias("end"))
     spans = F.array(span(10, 10 + modulo("doc_id", 20)), span(3, F.lit(7)))
     return d.withColumn("plan", literals.protect(F.col("t"), spans))

@@ -1,9 +1,10 @@
 """Queries on small tables of their own against plain versions: whole texts and whole tables."""
 
+import hashlib
 import re
 
 from folioscope import queries
-from folioscope.functions import text
+from folioscope.functions import literals, text
 from test_text import plain_edit_counts
 
 
@@ -29,3 +30,28 @@ def test_edits_of_whole_turns(spark, tmp_path):
     assert (r["exact"], r["edits"], r["characters"]) == (0, sum(plain_edit_counts(a, b)[0] for a, b in whole), sum(len(a) for a, _ in whole))
     changed = {r["turn"]: r["changed"] for r in queries.critical_change(spark, sf).collect()}
     assert changed == {i: i % 5 == 0 or re.findall(text.CHANGE, a) != re.findall(text.CHANGE, b) for i, (a, b) in pairs.items()} and changed[3]
+
+
+def test_literals_of_whole_documents(spark, tmp_path):
+    token = "__LITERAL_0_0123456789AB__"
+    said = {1: "x" * 60 + token, 3: "ab cdefgh ijklmnop " * 9 + "end", 5: "ab cdefgh ijklmnop" + " tail" * 20, 21: "y" * 61, 22: "", 23: None, 40: "z" * 80}
+    sf = write(spark, list(said.items()), "doc_id long, text string", tmp_path, "documents")
+
+    def plain(i, t):
+        """Request, tokens and error."""
+        n = i % 20
+        if not n or 10 + n > len(t):
+            return None, None, "overlapping or invalid span"
+        if re.search(literals.TOKEN, t):
+            return None, None, "source collides with placeholder namespace"
+        a, b = (f"__LITERAL_{k}_{hashlib.sha256(x.encode()).hexdigest()[:12].upper()}__" for k, x in enumerate((t[3:7], t[10 : 10 + n])))
+        return t[:3] + a + t[7:10] + b + t[10 + n :], f"{a},{b}", None
+
+    want = {i: plain(i, t) for i, t in said.items() if t is not None}
+    got = {r["doc_id"]: (r["request"], r["tokens"], r["error"]) for r in queries.literal_protect(spark, sf).collect()}
+    assert {i: got[i] for i in want} == want and want[1][2].startswith("source collides") and got.keys() == said.keys()
+    good = {i for i, w in want.items() if w[2] is None}
+    back = {r["doc_id"]: (r["restored"], r["ok"], r["whole"]) for r in queries.literal_restore(spark, sf).collect() if said[r["doc_id"]] is not None}
+    assert good == {3, 5, 21} and back == {i: (f"<{said[i]}>", True, True) for i in good}
+    failed = {r["doc_id"]: (r["strict"], r["any_order"]) for r in queries.literal_restore_fail(spark, sf).collect() if said[r["doc_id"]] is not None}
+    assert failed == {i: (False, i % 4 == 2) for i in good}
