@@ -10,7 +10,7 @@ hash is an anchor, and equal windows have equal anchors at equal places. Three r
    compared. Equal in all tokens, all windows around the anchor repeat. Splitters may part suffixes with equal
    leading tokens: a bucket then compares its ends with the splitters at its borders. Equal suffixes are never parted.
 3. Where suffixes agree in the leading token only, a bucket gets the REACH bytes on both sides of each distinct one and compares
-   all windows around the anchor among them. Suffixes of a leading token with more than CROWD others are not brought
+   all windows around the anchor among them. Suffixes of a leading token with more than CROWD others, or of a splitter's, are not brought
    together: each of their windows is a suffix of its own and goes through round 2's way, by its two tokens.
 
 A block of documents sends each bucket its distinct suffixes once and gets two bits for each, so a passage of a third of all
@@ -157,7 +157,7 @@ def received(data: bytes, width: int) -> np.ndarray:
 
 
 def sort_bucket(width: int, splitters: np.ndarray):
-    """For each block's suffixes three bits: another block has it too; another suffix shares its leading token; more than CROWD do."""
+    """For each block's suffixes three bits: another block has it too; another suffix shares its leading token; more than CROWD do, or a border is within it."""
 
     def run(data: pa.Table) -> pa.Table:
         rows = list(zip(*[data.column(c).to_pylist() for c in ("part", "block", "kind", "data")]))
@@ -177,6 +177,7 @@ def sort_bucket(width: int, splitters: np.ndarray):
         bucket = mine[0][0]
         for s in splitters[max(bucket - 1, 0) : bucket + 1]:  # what lies beyond a border may share the leading token
             mixed |= suffixes[:, 0] == s[0]
+            crowded |= suffixes[:, 0] == s[0]  # its suffixes go one way in all buckets, as none can count them all
         at = 0
         for p, b, t in mine:
             i = where[at : at + len(t)]

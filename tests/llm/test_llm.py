@@ -125,6 +125,28 @@ def test_suffix_dedup(docs, none, texts, crowd, monkeypatch):
     assert suffix_dedup.dedup_substrings(none).count() == 0
 
 
+def test_suffixes_of_one_head_parted_by_a_splitter(spark, monkeypatch):
+    rng = random.Random(7)
+    say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    core = say(400)
+    raw = [say(100 + i) + core + say(120) for i in range(8)]
+    heads = []
+    for t in raw:
+        s = suffix_dedup.Slice(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        heads.append({int(h): int(x) for h, x in zip(s.heads, s.around(s.anchors)[0][:, 0])})
+    (head,) = set.intersection(*map(set, heads))
+    after = sorted(h[head] for h in heads)
+    assert len(set(after)) == len(raw)
+    splitters = np.array([[head, after[-1]]], np.uint64)  # one suffix on the far side, more than CROWD on this one
+    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
+    monkeypatch.setattr(suffix_dedup, "sample_splitters", lambda *_: splitters)
+    got = rows_by_id(suffix_dedup.dedup_substrings(spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string"), 1 << 9))
+    count = Counter(t[k : k + 400] for t in raw for k in range(len(t) - 399))
+    for i, t in enumerate(raw):
+        again = [k for k in range(len(t) - 399) if count[t[k : k + 400]] > 1]
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == [(again[0], again[-1] + 400)]
+
+
 def test_multikey_quicksort():
     tokens = np.random.default_rng(1).integers(0, 3, (500, 3)).astype(np.uint64)
     assert (tokens[suffix_dedup.multikey_quicksort(tokens)] == tokens[np.lexsort(tokens.T[::-1])]).all()
