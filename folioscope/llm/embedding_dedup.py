@@ -93,7 +93,7 @@ def count_links(dim: int):
     def run(data: pa.Table) -> pa.Table:
         data = data.sort_by([("key", "ascending"), ("id", "ascending")])
         key = data.column("key").to_numpy()
-        ids, size, chunk = (data.column(c).to_numpy() for c in ("id", "size", "chunk"))
+        ids, size, chunk, other = (data.column(c).to_numpy() for c in ("id", "size", "chunk", "other"))
         v = np.frombuffer(b"".join(data.column("v").to_pylist()), float).reshape(-1, dim)
         near = np.frombuffer(b"".join(data.column("near").to_pylist()), "<u2").reshape(len(key), -1).astype(np.int64)
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -109,8 +109,8 @@ def count_links(dim: int):
                 continue
             some = np.flatnonzero(linked.any(1))
             linked = linked[np.ix_(some, some)] & first_list(near[lo:hi][some], int(key[lo]))
-            here = chunk[lo:hi][some]
-            if here[0] != here[-1] or (here != here[0]).any():  # pairs within a chunk count where that chunk is alone
+            if chunk[lo] != other[lo]:  # pairs within a chunk count where that chunk is alone
+                here = chunk[lo:hi][some]
                 linked &= here[:, None] != here[None, :]
             total[lo:hi][some] += linked @ size[lo:hi][some]
             label = np.arange(len(some))
@@ -155,7 +155,7 @@ def decide(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     bins = max(partitions(spark), 1) * 4
     bin_ = F.when(F.col("chunks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("key"), F.lit(bins)))).otherwise(F.concat_ws("/", "key", F.least("chunk", "other"), F.greatest("chunk", "other")))
-    found = materialize(dealt.select(bin_.alias("bin"), "key", "id", "size", "chunk", "near", "v").groupBy("bin").applyInArrow(count_links(dim), "a long, b long, n long"), "links")
+    found = materialize(dealt.select(bin_.alias("bin"), "key", "id", "size", "chunk", "other", "near", "v").groupBy("bin").applyInArrow(count_links(dim), "a long, b long, n long"), "links")
     release(spark)
     counts = found.filter("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     parts = components(found.filter("a <> b").select("a", "b"))

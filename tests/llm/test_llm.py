@@ -292,6 +292,17 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.decide(empty).count() == 0
 
 
+def test_large_lists_are_dealt_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 5))
+    rows = [base[i % 30] + rng.normal(size=5) * 0.05 for i in range(60)]  # few pivots, so that lists hold many vectors and few links
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    whole = {i: (r["n_links"], r["component_id"]) for i, r in rows_by_id(embedding_dedup.decide(vectors), "vec_id").items()}
+    monkeypatch.setattr(embedding_dedup, "LIST", 3)
+    assert {i: (r["n_links"], r["component_id"]) for i, r in rows_by_id(embedding_dedup.decide(vectors), "vec_id").items()} == whole
+    assert any(n for n, _ in whole.values())
+
+
 def labelled(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("aeioustnr") for _ in range(rng.randint(2, 7)))
