@@ -241,7 +241,7 @@ def scheduled_topk(spark, sf):
 def outputs(spark, sf) -> DataFrame:
     c = load(spark, sf, "conversations")
     k = F.col("turn") + F.col("conv_id")
-    said = F.when(k % 9 == 0, "").when(k % 9 == 1, "Here is it").when(k % 9 == 2, F.concat(F.lit("```"), "text")).when(k % 9 == 3, F.concat(F.lit("{"), "text", F.lit("}"))).when(k % 9 == 4, F.concat(F.lit("}{"), F.substring("text", 1, 9))).otherwise(F.substring("text", 1, 40))
+    said = F.when(k % 9 == 0, "").when(k % 9 == 1, "Here is it").when(k % 9 == 2, F.concat(F.lit("```"), "text")).when(k % 9 == 3, F.concat(F.lit("{"), "text", F.lit("}"))).when(k % 9 == 4, F.concat(F.lit("}{"), "text")).otherwise(F.col("text"))
     return c.select("conv_id", "turn", said.alias("text"), F.when(k % 13 == 0, "timeout").when(k % 17 != 0, "ok").alias("status"), (k % 19 == 0).alias("truncated"), F.when(k % 23 == 0, "length").alias("finish"), F.when(k % 2 == 0, "formula").otherwise("text").alias("task"))
 
 
@@ -510,8 +510,8 @@ def translation_coverage(spark, sf):
 def response_log(spark, sf):
     """A log a conversation: single and listed requests, some with blanks, some the wrong way round."""
     c = load(spark, sf, "conversations")
-    many = F.to_json(F.array(F.substring("text", 1, 4), F.substring("text", 5, 4)))
-    one = F.to_json(F.array(F.substring("text", 1, 4)))
+    many = F.to_json(F.array(F.substring("text", 1, 4), F.expr("substring(text, 5)")))
+    one = F.to_json(F.array("text"))
     alone = F.substring(one, F.lit(2), F.length(one) - 2)
     q = F.when(modulo("turn", 2) == 0, alone).otherwise(many)
     t = F.when(modulo("turn", 2) == 0, F.lit('"字"')).when(modulo("conv_id", 7) == 3, F.lit('["字", " "]')).otherwise(F.lit('["字", "b"]'))

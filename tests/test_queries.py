@@ -55,3 +55,13 @@ def test_literals_of_whole_documents(spark, tmp_path):
     assert good == {3, 5, 21} and back == {i: (f"<{said[i]}>", True, True) for i in good}
     failed = {r["doc_id"]: (r["strict"], r["any_order"]) for r in queries.literal_restore_fail(spark, sf).collect() if said[r["doc_id"]] is not None}
     assert failed == {i: (False, i % 4 == 2) for i in good}
+
+
+def test_outputs_and_logs_of_whole_turns(spark, tmp_path):
+    long = "a line of more than forty characters, all of it plain"
+    said = {5: long + "\nb", 6: long + " {", 8: long + " {x}", 7: long, 14: long + "\rb", 22: "}{", 24: long + "}"}
+    sf = write(spark, [(0, i, "user", t) for i, t in said.items()], TURNS, tmp_path, "conversations")
+    got = {r["turn"]: r["verdict"] for r in queries.output_valid(spark, sf).collect()}
+    assert got == {5: "multiple_annotation_output", 6: "invalid_formula_structure", 8: "ok", 7: "ok", 14: "ok", 22: "invalid_formula_structure", 24: "invalid_formula_structure"}
+    logs = write(spark, [(1, 0, "user", "    late"), (2, 1, "user", "ab  " + "    " + "late"), (3, 1, "user", "abcd")], TURNS, tmp_path / "logs", "conversations")
+    assert {r["log_id"]: (r["response_entries"], r["error"] is None) for r in queries.response_log(spark, logs).collect()} == {1: (1, True), 2: (2, True), 3: (0, False)}
