@@ -212,7 +212,7 @@ def box_scale(spark, sf):
 @query
 def table_geometry(spark, sf):
     """Grids of one column from orders; a cell in seven has an edge off by a little, one in eleven by more than is allowed."""
-    l = lines_once(spark, sf).filter("l_linenumber <= 4")  # noqa: E741
+    l = lines_once(spark, sf)  # noqa: E741
     top = (F.col("l_linenumber") - 1) * 100.0
     off = F.when(F.col("l_partkey") % 11 == 0, 30.0).when(F.col("l_partkey") % 7 == 0, 1.0).otherwise(0.0)
     cells = l.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("pos"), (F.col("l_linenumber") - 1).alias("row"), F.lit(0).alias("col"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.array(F.lit(0.0), top, F.lit(100.0), top + 100 - off).alias("bbox"))

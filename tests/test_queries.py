@@ -65,3 +65,11 @@ def test_outputs_and_logs_of_whole_turns(spark, tmp_path):
     assert got == {5: "multiple_annotation_output", 6: "invalid_formula_structure", 8: "ok", 7: "ok", 14: "ok", 22: "invalid_formula_structure", 24: "invalid_formula_structure"}
     logs = write(spark, [(1, 0, "user", "    late"), (2, 1, "user", "ab  " + "    " + "late"), (3, 1, "user", "abcd")], TURNS, tmp_path / "logs", "conversations")
     assert {r["log_id"]: (r["response_entries"], r["error"] is None) for r in queries.response_log(spark, logs).collect()} == {1: (1, True), 2: (2, True), 3: (0, False)}
+
+
+def test_geometry_of_all_lines(spark, tmp_path):
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    part = {(2, 5): 11, (3, 5): 7, (4, 6): 22}  # edges off by too much, by a little, by too much
+    rows = [(t, i, part.get((t, i), 1), 1, 1.0, "A", "F") for t in (1, 2, 3, 4) for i in range(1, 8)] + [(5, i, 1, 1, 1.0, "A", "F") for i in (1, 2, 3, 4, 6)]
+    sf = write(spark, rows, line, tmp_path, "lineitem")
+    assert {r["table_id"]: r["topology_valid"] for r in queries.table_geometry(spark, sf).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
