@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder, or one of our own where it is unset."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = f"file:///tmp/checkpoints/{os.getpid()}"
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
@@ -55,7 +57,32 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._folioscope_path = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._folioscope_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(docs: DataFrame) -> DataFrame:
+    """doc_id and text with k1, k2: 128 bits of both, so that nulls and repeated ids spread and equal rows have equal keys."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(7), "text", "doc_id")})
+
+
+def enrich(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column, how: str = "left") -> DataFrame:
+    """rows joined with facts. Facts that are hot, by a share of all rows that bounds their number, join by broadcast, the rest by merge."""
+    hot = F.coalesce(hot, F.lit(False))
+    first = rows.join(F.broadcast(facts.filter(hot).withColumn("__hot", F.lit(True))), keys, "left")
+    known = first.filter("__hot").drop("__hot")
+    rest = first.filter("__hot is null").select(*rows.columns).join(facts.filter(~hot).hint("merge"), keys, how)
+    return known.unionByName(rest)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,433 +1,345 @@
 """Suffix-array dedup of byte strings: sampled splitters, range partitions, multikey quicksort.
 
-A string of LENGTH bytes that starts anywhere else too is removed. Sorting every suffix of the corpus would be thousands of
-times the text, so suffixes are sampled by content first: of the HEAD-byte strings in each LENGTH-byte window the one of least
-hash is an anchor, and equal windows have equal anchors at equal places. Three rounds follow.
-
-1. Suffixes at anchors are compared by their leading token, a 64-bit digest of HEAD bytes; what occurs once has no partner.
-2. The rest are range-partitioned by leading tokens with sampled splitters, each bucket sorts locally by multikey quicksort (token by
-   token: HEAD bytes, the bytes up to LENGTH, the bytes before the anchor that its windows may hold), and neighbours are
-   compared. Equal in all tokens, all windows around the anchor repeat. Splitters may part suffixes with equal
-   leading tokens: a bucket then compares its ends with the splitters at its borders. Equal suffixes are never parted.
-3. Where suffixes agree in the leading token only, a bucket gets the REACH bytes on both sides of each distinct one and compares
-   all windows around the anchor among them. Suffixes of a leading token with more than CROWD others, or of a splitter's, are not brought
-   together: each of their windows is a suffix of its own and goes through round 2's way, by its two tokens.
-
-A block of documents sends each bucket its distinct suffixes once and gets two bits for each, so a passage of a third of all
-texts is one suffix a block, and removed runs are found where the text is.
+A string of LENGTH bytes that starts anywhere else too is removed. Sorting every suffix of the corpus would be hundreds of
+times the text, so suffixes are sampled by content: of the LEAD-byte strings in each LENGTH-byte window the one of least
+hash is the window's anchor, and equal windows have equal anchors at equal places. An anchor stands for a run of windows; the
+bytes of these windows are its context, a suffix that begins at the anchor and what stands before it.
+
+1. Anchors with equal contexts (128-bit digests, counted with partial sums) are one class. All windows of a class that
+   occurs more than once repeat. A class that occurs once needs comparing only if its lead occurs in another class.
+2. Those classes are range-partitioned by their suffixes, as text, with splitters that Spark samples. Each bucket sorts its
+   suffixes by multikey quicksort on eight-byte tokens of the text, reads later tokens only inside ties, and takes the
+   longest common prefix of neighbours; what stands before the anchors is sorted and compared likewise, read backwards. A
+   window repeats if another context agrees with it on both sides of the anchor.
+3. Borders: suffixes that share the lead of a bucket's first or last suffix may go on in the next bucket. Buckets hand these
+   on, and they are compared lead by lead.
+
+Leads with more than CROWD classes (a line that a third of all texts hold between different neighbours) are not brought together:
+each of their windows becomes a row of its own, counted by digest with partial sums. No key gathers rows without bound.
 
 Cases: null and empty texts have no bytes; matches never cross documents; overlapping matches of one text count; rows that repeat a
-doc_id are documents of their own; empty tables give empty results; other columns are not read. kept is binary, as removal may cut characters.
+doc_id are documents of their own, whole repeated rows are copies of each other; null doc_ids are documents like others; empty
+tables give empty results; other columns are not read. kept is binary, as removal may cut characters.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BYTE_VALUE, LOOKUP, SLICE, asked, bits_of, expand, from_planes, in_blocks, keys_of, member, mix, ordered, pack, part_of, planes, powers, prefix_hash, repeated, ship, slices, squeeze, table, text_buffer
+from folioscope.llm.common import discard, enrich, materialize, mix, partitions, powers, prefix_hash, release, row_key, ship, slices, text_buffer
 
 LENGTH = 400
-HEAD = 320
-REACH = LENGTH - HEAD  # how far before its anchor a window may start
-BLOCK_BYTES = 6 << 20
+LEAD = 100
+SPREAD = LENGTH - LEAD  # how far before its anchor a window may start
 CROWD = 4096
-#: Tokens of at most so many suffixes are sampled for splitters.
-SAMPLE = 20_000
-
-
-class Slice:
-    """Texts of a block, with hashes of any substrings, and their anchors."""
-
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
-        n = len(buf)
-        self.buf, self.offsets, self.prefix = buf, offsets, prefix_hash(buf)
-        _, self.down = powers(n + 1)
-        sizes = np.diff(offsets)
-        self.begin = np.repeat(offsets[:-1], sizes)
-        self.end = np.repeat(offsets[1:], sizes)
-        self.anchors, self.heads = self._anchors(n)
-
-    def digest(self, start: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.prefix[start + length] - self.prefix[start]) * self.down[start] + np.uint64(length))
-
-    def _anchors(self, n: int):
-        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        if n < LENGTH:
-            return none
-        heads = mix((self.prefix[HEAD:] - self.prefix[:-HEAD]) * self.down[: n - HEAD + 1] + np.uint64(HEAD))
-        bits = max(24, n.bit_length())
-        low = np.uint64((1 << bits) - 1)
-        width, count = REACH + 1, n - LENGTH + 1
-        rows = -(-(count + width - 1) // width)
-        key = np.full(rows * width, ~np.uint64(0))
-        m = min(len(heads), len(key))
-        key[:m] = heads[:m] & ~low | np.arange(m, dtype=np.uint64)
-        key[:m][(np.arange(m) + HEAD > self.end[:m])] = ~np.uint64(0)
-        grid = key.reshape(rows, width)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
-        least = least[np.arange(count) + LENGTH <= self.end[:count]]
-        least = least[np.concatenate([[True], least[1:] != least[:-1]])] if len(least) else least
-        at = np.unique((least & low).astype(np.int64))
-        return at, heads[at]
-
-    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of anchors: tokens (what follows the head, what stands before it), and whether the text has room for both."""
-        room = (at - REACH >= self.begin[at]) & (at + LENGTH <= self.end[at])
-        after, before = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        ok = at + LENGTH <= self.end[at]
-        after[ok] = self.digest(at[ok] + HEAD, REACH)
-        ok = at - REACH >= self.begin[at]
-        before[ok] = self.digest(at[ok] - REACH, REACH)
-        return np.stack([after, before], 1), room
-
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        """Distinct starts of the windows that hold these heads."""
-        lo, hi = np.maximum(at - REACH, self.begin[at]), np.minimum(at, self.end[at] - LENGTH) + 1
-        return ones(lo, np.maximum(hi, lo), len(self.buf))
-
-
-def ones(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
-    """Positions in the union of the ranges lo..hi."""
-    turn = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
-    return np.flatnonzero(np.cumsum(turn[:n]) > 0)
-
-
-def block_slices(docs: pa.Table):
-    buf, offsets = text_buffer(docs.column("text"))
-    for a, b in slices(offsets, SLICE):
-        yield a, b, Slice(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-
-
-# ---------------------------------------------------------------- suffixes as rows of tokens
+#: Contexts of so many bytes make a bucket on average.
+BUCKET_BYTES = 16 << 20
+#: Bytes of text whose hashes are held at a time; longer texts are cut with an overlap, which never changes a result.
+PIECE = 1 << 19
+
+
+# ---------------------------------------------------------------- anchors
+def find_anchors(buf: np.ndarray, ends: np.ndarray):
+    """(at, lo, hi, lead's hash): each anchor stands for the windows that start at lo to hi. ends: of each byte, the end of its text."""
+    n = len(buf)
+    count = n - LENGTH + 1
+    if count <= 0:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    prefix = prefix_hash(buf)
+    _, down = powers(n + 1)
+    heads = mix((prefix[LEAD:] - prefix[:-LEAD]) * down[: n - LEAD + 1])
+    low = np.uint64((1 << 24) - 1)
+    width = SPREAD + 1
+    rows = -(-(count + width - 1) // width)
+    key = np.full(rows * width, ~np.uint64(0))
+    m = min(len(heads), len(key))
+    key[:m] = heads[:m] & ~low | np.arange(m, dtype=np.uint64)
+    grid = key.reshape(rows, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = (np.minimum(behind[:count], ahead[width - 1 : width - 1 + count]) & low).astype(np.int64)
+    start = np.flatnonzero(np.arange(count) + LENGTH <= ends[:count])
+    least = least[start]
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(start) > 1)])) if len(start) else start
+    last = np.append(first[1:], len(start)) - 1
+    return least[first], start[first], start[last] if len(start) else start, heads[least[first]]
+
+
+def pieces(offsets: np.ndarray):
+    """(first text, one past the last, first byte, one past the last) of runs of texts, or of overlapping parts of a long one."""
+    for a, b in slices(offsets, PIECE):
+        lo, end = int(offsets[a]), int(offsets[b])
+        while True:
+            hi = min(end, lo + PIECE + LENGTH) if b - a == 1 else end
+            yield a, b, lo, hi
+            if hi == end:
+                break
+            lo = hi - LENGTH + 1
+
+
+ANCHORS = "k1 long, k2 long, at int, lo int, hi int, head long, class binary"
+
+
+def anchor_rows(batches):
+    for batch in batches:
+        buf, offsets = text_buffer(batch.column(2))
+        k1, k2 = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        for a, b, lo, hi in pieces(offsets):
+            part = buf[lo:hi]
+            edge = np.minimum(offsets[a : b + 1], hi)
+            ends = np.repeat(edge[1:] - lo, np.diff(np.maximum(edge, lo)))
+            at, first, last, head = find_anchors(part, ends)
+            if not len(at):
+                continue
+            doc = np.searchsorted(offsets, at + lo, "right") - 1
+            raw = part.tobytes()
+            digest = [hashlib.blake2b(raw[x : y + LENGTH], digest_size=16, salt=int(z - x).to_bytes(2, "big")).digest() for x, y, z in zip(first.tolist(), last.tolist(), at.tolist())]
+            place = lo - offsets[doc]
+            ints = [pa.array((x + place).astype(np.int32)) for x in (at, first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array(k1[doc]), pa.array(k2[doc]), *ints, pa.array(head.view(np.int64)), pa.array(digest, pa.binary())], names=["k1", "k2", "at", "lo", "hi", "head", "class"])
+
+
+CONTEXTS = "k1 long, k2 long, lo int, n long, pre int, head long, context binary, window binary, start int"
+
+
+def context_rows(batches):
+    """Contexts of the wanted anchors of each text; those of crowded leads as a row for each window."""
+    names = [c.split()[0] for c in CONTEXTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+    for batch in batches:
+        rows: list[tuple] = []
+        texts = batch.column(2)
+        held = 0
+        for i, want in enumerate(batch.column(3)):
+            raw = memoryview(texts[i].as_buffer())
+            k1, k2 = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            for w in want.as_py():
+                lo, hi, pre, n, head = w["lo"], w["hi"], w["at"] - w["lo"], w["n"], w["head"]
+                if w["crowded"]:
+                    rows += [(k1, k2, lo, n, None, None, None, hashlib.blake2b(raw[s : s + LENGTH], digest_size=16).digest(), s) for s in range(lo, hi + 1)]
+                    held += (hi - lo + 1) * 64
+                else:
+                    rows.append((k1, k2, lo, n, pre, head, bytes(raw[lo : hi + LENGTH]), None, None))
+                    held += hi - lo + LENGTH
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+
+# ---------------------------------------------------------------- sorting and comparing suffixes
 def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
-    """The order of rows of tokens: sorted by the first token, then each run of equal ones by the next, and so on."""
-    order = np.argsort(tokens[:, 0], kind="stable")
-    run = np.concatenate([[0], np.cumsum(np.diff(tokens[order, 0]) != 0)]) if len(order) else order
-    for column in tokens.T[1:]:
-        open_ = np.flatnonzero(np.bincount(run)[run] > 1) if len(run) else run
-        if not len(open_):
-            break
-        inner = np.lexsort((column[order[open_]], run[open_]))
-        order[open_] = order[open_][inner]
-        new = np.concatenate([[False], (run[1:] != run[:-1]) | (column[order][1:] != column[order][:-1])])
-        run = np.cumsum(new)
-    return order
-
-
-def same_as_next(tokens: np.ndarray) -> np.ndarray:
-    """Of sorted rows of tokens: how many leading tokens each shares with the next."""
-    return np.cumprod(tokens[1:] == tokens[:-1], axis=1).sum(1)
-
-
-def distinct_rows(tokens: np.ndarray):
-    """Distinct rows in order, the place of each row among them, and how often each occurs."""
-    order = multikey_quicksort(tokens)
-    ranked = tokens[order]
-    head = np.concatenate([[True], same_as_next(ranked) < tokens.shape[1]]) if len(order) else np.zeros(0, bool)
-    where = np.empty(len(order), np.int64)
-    where[order] = np.cumsum(head) - 1
-    return ranked[head], where, np.bincount(where, minlength=int(head.sum()))
-
-
-def buckets(tokens: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """How many splitters (rows of two tokens) are at most each row."""
-    out = np.searchsorted(splitters[:, 0], tokens[:, 0], "left")
-    tied = np.flatnonzero(np.isin(tokens[:, 0], splitters[:, 0]))
-    for v in np.unique(tokens[tied, 0]):
-        rows = tied[tokens[tied, 0] == v]
-        mine = splitters[splitters[:, 0] == v, 1]
-        out[rows] += np.searchsorted(mine, tokens[rows, 1], "right")
-    return out.astype(np.int32)
-
-
-def send(tokens: np.ndarray, splitters: np.ndarray, block: int) -> list[tuple]:
-    part = buckets(tokens, splitters)
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
-    return [(int(part[a]), block, 0, squeeze(tokens[a:b, 0]) + b"".join(planes(c) for c in np.ascontiguousarray(tokens[a:b, 1:].T))) for a, b in zip(edges[:-1], edges[1:]) if b > a]
-
-
-def received(data: bytes, width: int) -> np.ndarray:
-    n = len(data) // (8 * width)
-    return np.stack([expand(data[: 8 * n]), *(from_planes(data[8 * n * i : 8 * n * (i + 1)], np.uint64) for i in range(1, width))], 1)
-
-
-def sort_bucket(width: int, splitters: np.ndarray):
-    """For each block's suffixes three bits: another block has it too; another suffix shares its leading token; more than CROWD do, or a border is within it."""
-
-    def run(data: pa.Table) -> pa.Table:
-        rows = list(zip(*[data.column(c).to_pylist() for c in ("part", "block", "kind", "data")]))
-        out = [r for r in rows if r[2] not in (0, 4)]
-        near = [r for r in rows if r[2] == 4]
-        out += compare_contexts(near) if near else []
-        mine = [(p, b, received(d, width)) for p, b, k, d in rows if not k]
-        if not mine:
-            return table(out)
-        suffixes, where, times = distinct_rows(np.concatenate([t for *_, t in mine]))
-        common = same_as_next(suffixes)
-        mixed = np.zeros(len(suffixes), bool)
-        mixed[:-1] |= common > 0
-        mixed[1:] |= common > 0
-        head = np.cumsum(np.concatenate([[0], common == 0]))
-        crowded = np.bincount(head)[head] > CROWD
-        bucket = mine[0][0]
-        for s in splitters[max(bucket - 1, 0) : bucket + 1]:  # what lies beyond a border may share the leading token
-            mixed |= suffixes[:, 0] == s[0]
-            crowded |= suffixes[:, 0] == s[0]  # its suffixes go one way in all buckets, as none can count them all
-        at = 0
-        for p, b, t in mine:
-            i = where[at : at + len(t)]
-            at += len(t)
-            out.append((p, b, 0, np.packbits(np.concatenate([times[i] > 1, mixed[i], crowded[i]])).tobytes()))
-        return table(out)
-
-    return run
-
-
-def reply(answers: pa.Table, tokens: np.ndarray, splitters: np.ndarray, kind: int = 0) -> tuple[np.ndarray, ...]:
-    counts = np.bincount(buckets(tokens, splitters), minlength=len(splitters) + 1)
-    got = {p: d for p, k, d in zip(*[answers.column(c).to_pylist() for c in ("part", "kind", "data")]) if k == kind}
-    bits = [np.unpackbits(np.frombuffer(got[p], np.uint8), count=3 * int(n)).reshape(3, -1).astype(bool) for p, n in enumerate(counts) if n]
-    return tuple(np.concatenate(bits, 1)) if bits else (np.zeros(0, bool),) * 3
-
-
-def state(answers: pa.Table, kind: int) -> np.ndarray:
-    return next((np.unpackbits(np.frombuffer(d, np.uint8)).astype(bool) for k, d in zip(answers.column("kind").to_pylist(), answers.column("data").to_pylist()) if k == kind), np.zeros(0, bool))
-
-
-def keep_state(block: int, parts: int, kind: int, bits: np.ndarray) -> tuple:
-    return (block % parts, block, kind, np.packbits(bits).tobytes())
-
-
-# ---------------------------------------------------------------- contexts of anchors
-class Contexts:
-    """Distinct contexts of anchors: the head's digest, REACH bytes before it and after it (as far as the text goes)."""
-
-    def __init__(self, heads: np.ndarray, raw: np.ndarray, parts: int):
-        key = np.concatenate([heads.astype(">u8").view(np.uint8).reshape(-1, 8), raw], 1)
-        rows, self.where, self.times = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_inverse=True, return_counts=True)
-        rows = rows.view(np.uint8).reshape(-1, key.shape[1])
-        self.heads, self.raw = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64), rows[:, 8:]
-        self.part = part_of(self.heads, parts)
-
-    def send(self, block: int) -> list[tuple]:
-        edges = [0, *(np.flatnonzero(np.diff(self.part)) + 1), len(self.part)]
-        return [(int(self.part[a]), block, 4, np.uint32(b - a).tobytes() + squeeze(self.heads[a:b]) + (self.times[a:b] > 1).astype(np.uint8).tobytes() + self.raw[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:]) if b > a]
-
-
-SIDES = 2 * REACH + 2  # two lengths, then the bytes on both sides
-
-
-def sides(s: Slice, at: np.ndarray) -> np.ndarray:
-    """Of anchors: how many bytes there are before and after (REACH at most), and these bytes."""
-    left, right = np.minimum(at - s.begin[at], REACH), np.minimum(s.end[at] - at - HEAD, REACH)
-    step = np.arange(REACH)
-    out = np.zeros((len(at), SIDES), np.uint8)
-    out[:, 0], out[:, 1] = left, right
-    before = s.buf[np.maximum(at[:, None] - REACH + step, 0)]
-    after = s.buf[np.minimum(at[:, None] + HEAD + step, len(s.buf) - 1)]
-    out[:, 2 : 2 + REACH] = np.where(step >= REACH - left[:, None], before, 0)
-    out[:, 2 + REACH :] = np.where(step < right[:, None], after, 0)
-    return out
-
-
-def windows_around(heads: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A digest of each of the REACH + 1 windows around a head, the earliest first, and whether the text has it."""
-    up, down = powers(2 * REACH + 1)
-    j = np.arange(REACH + 1)  # part of the digest: the head stands elsewhere in each
-    p = np.zeros((len(raw), 2 * REACH + 1), np.uint64)
-    np.cumsum(BYTE_VALUE[raw[:, 2:]] * up[: 2 * REACH], axis=1, out=p[:, 1:])
-    keys = mix((p[:, REACH:] - p[:, : REACH + 1]) * down[: REACH + 1] + mix(heads.copy())[:, None] + mix(j.astype(np.uint64)))
-    return keys, (j >= REACH - raw[:, :1].astype(int)) & (j <= raw[:, 1:2].astype(int))
-
-
-def compare_contexts(rows: list[tuple]) -> list[tuple]:
-    """For each block's contexts, which of their windows occur elsewhere too."""
-    got = []
-    for p, b, _, d in rows:
-        n = int(np.frombuffer(d[:4], np.uint32)[0])
-        got.append((p, b, expand(d[4 : 4 + 8 * n]), np.frombuffer(d[4 + 8 * n : 4 + 9 * n], np.uint8) > 0, np.frombuffer(d[4 + 9 * n :], np.uint8).reshape(n, SIDES)))
-    keys, there = windows_around(np.concatenate([g[2] for g in got]), np.concatenate([g[4] for g in got]))
-    again = member(keys.ravel(), repeated(np.sort(keys[there]))).reshape(keys.shape) | np.concatenate([g[3] for g in got])[:, None]
-    again &= there
-    out, at = [], 0
-    for p, b, h, *_ in got:
-        out.append((p, b, 4, np.packbits(again[at : at + len(h)]).tobytes()))
-        at += len(h)
-    return out
-
-
-def context_reply(answers: pa.Table, c: Contexts, parts: int) -> np.ndarray:
-    counts = np.bincount(c.part, minlength=parts)
-    got = {p: d for p, k, d in zip(*[answers.column(x).to_pylist() for x in ("part", "kind", "data")]) if k == 4}
-    bits = [np.unpackbits(np.frombuffer(got[p], np.uint8), count=(REACH + 1) * int(n)).reshape(-1, REACH + 1) for p, n in enumerate(counts) if n]
-    return np.concatenate(bits).astype(bool)[c.where] if bits else np.zeros((0, REACH + 1), bool)
-
-
-# ---------------------------------------------------------------- the three rounds, on a block
-def block_anchors(docs: pa.Table) -> np.ndarray:
-    return np.concatenate([s.heads for *_, s in block_slices(docs)] or [np.zeros(0, np.uint64)])
-
-
-def anchor_suffixes(docs: pa.Table, marked: np.ndarray):
-    """Rows (head, after, before) of marked anchors; whether each has room for all its windows."""
-    rows, rooms, at = [], [], 0
-    for *_, s in block_slices(docs):
-        mine = marked[at : at + len(s.anchors)]
-        at += len(s.anchors)
-        tokens, room = s.around(s.anchors[mine])
-        rows.append(np.concatenate([s.heads[mine][:, None], tokens], 1))
-        rooms.append(room)
-    return (np.concatenate(rows), np.concatenate(rooms)) if rows else (np.zeros((0, 3), np.uint64), np.zeros(0, bool))
-
-
-def chosen_contexts(docs: pa.Table, marked: np.ndarray, near: np.ndarray, parts: int) -> Contexts:
-    heads, raw, at, base = [np.zeros(0, np.uint64)], [np.zeros((0, SIDES), np.uint8)], 0, 0
-    for *_, s in block_slices(docs):
-        some = marked[at : at + len(s.anchors)]
-        at += len(s.anchors)
-        mine, own = s.anchors[some], s.heads[some]
-        pick = near[base : base + len(mine)]
-        base += len(mine)
-        heads.append(own[pick])
-        raw.append(sides(s, mine[pick]))
-    return Contexts(np.concatenate(heads), np.concatenate(raw), parts)
-
-
-def decided(docs: pa.Table, marked: np.ndarray, twice: np.ndarray, sends: np.ndarray, near: np.ndarray | None = None, found: np.ndarray | None = None):
-    """By slice: starts of windows that repeat for their anchor's sake, and of those that go to the third round with their tokens."""
-    at = base = seen = 0
-    for a, b, s in block_slices(docs):
-        mine = s.anchors[marked[at : at + len(s.anchors)]]
-        at += len(s.anchors)
-        sure, ask = twice[base : base + len(mine)], sends[base : base + len(mine)]
-        certain = s.windows(mine[sure])
-        if found is not None:
-            pick = mine[near[base : base + len(mine)]]
-            i, j = np.nonzero(found[seen : seen + len(pick)])
-            seen += len(pick)
-            certain = np.union1d(certain, pick[i] - REACH + j)
-        base += len(mine)
-        starts = s.windows(mine[ask])
-        tokens = np.stack([s.digest(starts, HEAD), s.digest(starts + HEAD, REACH)], 1) if len(starts) else np.zeros((0, 2), np.uint64)
-        yield a, b, s, certain, starts, tokens
-
-
-def rounds(parts: int, splitters: np.ndarray):
-    buckets_ = len(splitters) + 1
-
-    def ask1(docs: pa.Table) -> pa.Table:
-        keys = np.unique(block_anchors(ordered(docs)))
-        return table(pack(part_of(keys, parts), keys, docs.column("block")[0].as_py()))
-
-    def answer1(data: pa.Table) -> pa.Table:
-        rows = keys_of(data)
-        twice = repeated(np.sort(np.concatenate([k for *_, k in rows])))
-        return table([(p, b, 0, np.packbits(member(k, twice)).tobytes()) for p, b, k in rows])
-
-    def ask2(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return table([])
-        docs = ordered(docs)  # what is kept by place needs the same order in each round
-        block = docs.column("block")[0].as_py()
-        distinct, where, times = np.unique(block_anchors(docs), return_inverse=True, return_counts=True)
-        marked = (bits_of(answers, 0, asked(distinct, parts)) | (times > 1))[where] if len(where) else np.zeros(0, bool)
-        rows = distinct_rows(anchor_suffixes(docs, marked)[0])[0]
-        return table([*send(rows, splitters, block), keep_state(block, buckets_, 1, marked)])
-
-    def ask3(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return table([])
-        docs = ordered(docs)
-        block = docs.column("block")[0].as_py()
-        marked = state(answers, 1)
-        tokens, room = anchor_suffixes(docs, marked)
-        distinct, where, times = distinct_rows(tokens)
-        elsewhere, mixed, crowded = reply(answers, distinct, splitters)
-        twice, sends, near = (np.zeros(len(where), bool) for _ in range(3))
-        if len(where):
-            twice = (elsewhere | (times > 1))[where] & room
-            first = np.zeros(len(where), bool)
-            first[np.unique(where, return_index=True)[1]] = True
-            open_ = ~twice | first & mixed[where]  # of suffixes that are sure one stands for all as a partner
-            sends, near = open_ & crowded[where], open_ & ~crowded[where]
-        rows = distinct_rows(np.concatenate([t for *_, t in decided(docs, marked, twice, sends)] or [np.zeros((0, 2), np.uint64)]))[0]
-        context = chosen_contexts(docs, marked, near, buckets_)
-        return table([*send(rows, splitters, block), *context.send(block), *(keep_state(block, buckets_, k, x) for k, x in ((1, marked), (2, twice), (3, sends), (5, near)))])
-
-    def apply(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        cols: dict[str, list] = {k: [] for k in RESULT}
-        if docs.num_rows:
-            docs = ordered(docs)
-            marked, twice, sends, near = (state(answers, k) for k in (1, 2, 3, 5))
-            around = context_reply(answers, chosen_contexts(docs, marked, near, buckets_), buckets_)
-            each = [(a, b, s.buf, s.offsets, *rest) for a, b, s, *rest in decided(docs, marked, twice, sends, near, around)]
-            distinct, where, times = distinct_rows(np.concatenate([t for *_, t in each]))
-            elsewhere = reply(answers, distinct, splitters)[0]
-            again = (elsewhere | (times > 1))[where] if len(where) else np.zeros(0, bool)
-            ids = docs.column("doc_id").to_pylist()
-            at = 0
-            for a, b, buf, offsets, sure, starts, _ in each:
-                found = starts[again[at : at + len(starts)]]
-                at += len(starts)
-                starts = np.union1d(sure, found)
-                gone = np.zeros(len(buf), bool)
-                gone[ones(starts, starts + LENGTH, len(buf))] = True
-                for i in range(b - a):
-                    lo, hi = int(offsets[i]), int(offsets[i + 1])
-                    mine = gone[lo:hi]
-                    turn = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
-                    spans = turn.reshape(-1, 2)
-                    for k, v in zip(RESULT, (ids[a + i], hi - lo, int((spans[:, 1] - spans[:, 0]).sum()), [{"start": int(x), "end": int(y)} for x, y in spans], buf[lo:hi][~mine].tobytes())):
-                        cols[k].append(v)
-        return pa.table([pa.array(cols[k], t) for k, t in RESULT.items()], names=list(RESULT))
-
-    return ask1, answer1, ask2, ask3, apply
-
-
-RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
+    """The order of rows of tokens. Each open run of rows is split in three by a pivot token (less, equal, greater), all
+    runs at a time; the equal ones go on with the next token, so that a token is read only by rows that tie on those before."""
+    n, width = tokens.shape
+    order = np.arange(n)
+    start, size, depth = np.zeros(1, np.int64), np.array([n]), np.zeros(1, np.int64)
+    while True:
+        open_ = (size > 1) & (depth < width)
+        start, size, depth = start[open_], size[open_], depth[open_]
+        if not len(start):
+            return order
+        base = np.cumsum(size) - size
+        run = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(run)) - base[run] + start[run]
+        rows = order[place]
+        t = tokens[rows, depth[run]]
+        pivot = t[base + size // 2][run]
+        side = np.where(t < pivot, 0, np.where(t == pivot, 1, 2))
+        counts = np.bincount(run * 3 + side, minlength=3 * len(size)).reshape(-1, 3)
+        to = np.empty(len(run), np.int64)
+        shift = np.zeros(len(size), np.int64)
+        for s in range(3):
+            here = side == s
+            before = np.cumsum(here) - here
+            rank = before - before[base][run]
+            to[here] = (start[run] + shift[run] + rank)[here]
+            shift += counts[:, s]
+        order[to] = rows
+        start = np.stack([start, start + counts[:, 0], start + counts[:, 0] + counts[:, 1]], 1).ravel()
+        depth = np.stack([depth, depth + 1, depth], 1).ravel()
+        size = counts.ravel()
+
+
+def tokens_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as big-endian eight-byte tokens, whose order is that of the text."""
+    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+
+
+def gather(raw: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Rows of width bytes, forward (step 1) or backward (-1) from start; zero beyond length."""
+    j = np.arange(width)
+    at = np.clip(start[:, None] + step * j, 0, max(len(raw) - 1, 0))
+    return np.where(j < length[:, None], raw[at], np.uint8(0))
+
+
+def common_prefix(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of sorted rows, how many leading bytes each shares with the next."""
+    if len(rows) < 2:
+        return np.zeros(0, np.int64)
+    differ = rows[1:] != rows[:-1]
+    first = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return np.minimum(first, np.minimum(length[1:], length[:-1]))
+
+
+def neighbours(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Of each row the most that it shares with a neighbour in the order."""
+    most = np.zeros(len(order), np.int64)
+    most[order[1:]] = shared
+    most[order[:-1]] = np.maximum(most[order[:-1]], shared)
+    return most
+
+
+def repeated_windows(contexts: list[bytes], pre: np.ndarray, wanted: np.ndarray):
+    """(row, start) of the windows, from the context's first byte, that occur in another context too; and the order of suffixes."""
+    n = len(contexts)
+    size = np.array([len(c) for c in contexts])
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    base = np.cumsum(size) - size
+    right = size - pre
+    text = gather(raw, base + pre, right, LENGTH, 1)
+    order = multikey_quicksort(np.concatenate([tokens_of(text), right.astype(np.uint64)[:, None]], 1))
+    ahead = common_prefix(text[order], right[order])
+    lead = np.empty(n, np.int64)
+    lead[order] = np.concatenate([[0], np.cumsum(ahead < LEAD)])
+    width = SPREAD + -SPREAD % 8
+    text = gather(raw, base + pre - 1, pre, width, -1)
+    back = multikey_quicksort(np.concatenate([lead.astype(np.uint64)[:, None], tokens_of(text), pre.astype(np.uint64)[:, None]], 1))
+    behind = common_prefix(text[back], pre[back])
+    behind[lead[back][1:] != lead[back][:-1]] = -1
+    # a window with o bytes before the anchor can repeat only if neighbours share as much on both sides
+    least = np.maximum(pre - (size - LENGTH), LENGTH - neighbours(order, ahead))
+    most = np.minimum(pre, np.maximum(neighbours(back, behind), 0))
+    rows, starts = [], []
+    for o in range(int(least.min(initial=SPREAD + 1)), int(most.max(initial=-1)) + 1):
+        some = np.flatnonzero((least <= o) & (o <= most))
+        if len(some) < 2:
+            continue
+        r, q = np.empty(n, np.int64), np.empty(n, np.int64)
+        r[order] = np.concatenate([[0], np.cumsum(ahead < LENGTH - o)])
+        q[back] = np.concatenate([[0], np.cumsum(behind < o)])
+        _, where, times = np.unique(r[some] * n + q[some], return_inverse=True, return_counts=True)
+        hit = some[(times[where] > 1) & wanted[some]]
+        rows.append(hit)
+        starts.append(pre[hit] - o)
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(rows), join(starts), order, lead
+
+
+SPANS = "k1 long, k2 long, start int, end int"
+FOUND = f"{SPANS}, lo int, n long, pre int, head long, context binary"
+_FOUND = {"k1": pa.int64(), "k2": pa.int64(), "start": pa.int32(), "end": pa.int32(), "lo": pa.int32(), "n": pa.int64(), "pre": pa.int32(), "head": pa.int64(), "context": pa.binary()}
+
+
+def compare(data: pa.Table, whole: bool) -> pa.Table:
+    """Spans of bytes in repeated windows of classes that occur once. Unless data is whole, suffixes that share the first or
+    the last one's lead are handed on with no span."""
+    contexts = data.column("context").to_pylist()
+    column = lambda c: data.column(c).to_numpy().astype(np.int64)
+    pre, lo = column("pre"), column("lo")
+    rows, starts, order, lead = repeated_windows(contexts, pre, column("n") == 1)
+    on = np.zeros(len(contexts), bool) if whole else (lead == lead[order[0]]) | (lead == lead[order[-1]])
+    rows, starts = rows[~on[rows]], starts[~on[rows]]
+    by = np.lexsort((starts, rows))
+    rows, starts = rows[by], starts[by]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (np.diff(starts) > LENGTH)])) if len(rows) else rows
+    last = np.append(first[1:], len(rows)) - 1
+    mine = rows[first]
+    k1, k2 = column("k1"), column("k2")
+    spans = [k1[mine], k2[mine], starts[first] + lo[mine], (starts[last] + lo[mine] + LENGTH) if len(rows) else starts]
+    spans = pa.table([pa.array(x, pa.int64()).cast(t) for x, t in zip(spans, list(_FOUND.values())[:4])], names=list(_FOUND)[:4])
+    for c in list(_FOUND)[4:]:
+        spans = spans.append_column(c, pa.nulls(spans.num_rows, _FOUND[c]))
+    handed = data.filter(pa.array(on))
+    for c in ("start", "end"):
+        handed = handed.append_column(c, pa.nulls(handed.num_rows, pa.int32()))
+    return pa.concat_tables([spans, handed.select(list(_FOUND)).cast(spans.schema)])
+
+
+def sort_bucket(batches):
+    held = list(batches)
+    data = pa.Table.from_batches(held) if held else None
+    if data is not None and data.num_rows:
+        yield from compare(data, False).to_batches(max_chunksize=4096)
+
+
+def across_borders(data: pa.Table) -> pa.Table:
+    return compare(data, True).select(["k1", "k2", "start", "end"])
+
+
+# ---------------------------------------------------------------- removal
 RESULT_DDL = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def sample_suffixes(batches):
+def remove(batches):
     for batch in batches:
-        docs = pa.table([batch.column(0)], names=["text"])
-        heads, after = [], []
-        for *_, s in block_slices(docs):
-            at = s.anchors[::61]
-            heads.append(s.heads[::61])
-            after.append(s.around(at)[0][:, 0])
-        if heads:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(after).view(np.int64))], names=["head", "after"])
-
-
-def sample_splitters(docs: DataFrame, parts: int, rows: int) -> np.ndarray:
-    """parts - 1 rows of two tokens, from suffixes of a bounded sample of documents. They set the layout only, never a result."""
-    if parts <= 1:
-        return np.zeros((0, 2), np.uint64)
-    every = max(1, rows // 2000)  # rows is a guess: what is too many is cut by SAMPLE
-    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    found = few.mapInArrow(sample_suffixes, "head long, after long").limit(SAMPLE).collect()
-    tokens = np.array([[r["head"], r["after"]] for r in found], np.int64).reshape(-1, 2).view(np.uint64)
-    tokens = distinct_rows(tokens)[0]
-    if len(tokens) < parts:
-        tokens = np.stack([(np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)), np.zeros(parts - 1, np.uint64)], 1)
-        return tokens
-    return tokens[(np.arange(1, parts) * len(tokens)) // parts]
-
-
-def dedup_substrings(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        texts = batch.column(1)
+        sizes, gone, spans, kept = [], [], [], []
+        for i, found in enumerate(batch.column(2)):
+            raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
+            sizes.append(len(raw))
+            runs: list[list[int]] = []
+            if found.is_valid and len(found.values):
+                s, e = (found.values.field(c).to_numpy().astype(np.int64) for c in (0, 1))
+                by = np.argsort(s, kind="stable")
+                s, e = s[by], np.maximum.accumulate(e[by])
+                first = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+                runs = [[int(x), int(y)] for x, y in zip(s[first], e[np.append(first[1:], len(s)) - 1])]
+            spans.append([{"start": x, "end": y} for x, y in runs])
+            gone.append(sum(y - x for x, y in runs))
+            edges = [0, *(x for run in runs for x in run), len(raw)]
+            kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2])) if runs else raw)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, _SPAN), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+
+
+def dedup_substrings(docs: DataFrame, bucket_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of each document; spans are the maximal removed runs of bytes."""
-    ship(docs.sparkSession)
-    blocked, parts = in_blocks(docs, block_bytes)
-    splitters = sample_splitters(docs, parts, parts * 1000)
-    ask1, answer1, ask2, ask3, apply = rounds(parts, splitters)
-    by_block = lambda x: blocked.groupBy("block").cogroup(x.groupBy("block"))
-    one = blocked.groupBy("block").applyInArrow(ask1, LOOKUP).groupBy("part").applyInArrow(answer1, LOOKUP)
-    two = by_block(one).applyInArrow(ask2, LOOKUP).groupBy("part").applyInArrow(sort_bucket(3, splitters), LOOKUP)
-    three = by_block(two).applyInArrow(ask3, LOOKUP).groupBy("part").applyInArrow(sort_bucket(2, splitters), LOOKUP)
-    return by_block(three).applyInArrow(apply, RESULT_DDL)
+    spark = docs.sparkSession
+    ship(spark)
+    key = ["k1", "k2"]
+    texts = row_key(docs).select(*key, "doc_id", F.col("text").cast("binary").alias("text"))
+    long = texts.filter(F.octet_length("text") >= LENGTH)
+    anchors = materialize(long.select(*key, "text").mapInArrow(anchor_rows, ANCHORS), "anchors")
+    # 1. classes of equal contexts, and the leads that several classes share
+    one = F.min(F.struct(*key, "lo", "hi", "at")).alias("one")
+    classes = materialize(anchors.groupBy("head", "class").agg(F.count(F.lit(1)).alias("n"), one), "classes")
+    total = classes.count()
+    leads = materialize(classes.groupBy("head").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").drop("least"), "leads")
+    shared = enrich(classes, leads, ["head"], F.col("kinds") * 1000 >= F.lit(total), "inner")
+    wanted = F.struct("one.lo", "one.hi", "one.at", "n", "head", (F.col("kinds") > CROWD).alias("crowded"))
+    wanted = shared.groupBy("one.k1", "one.k2").agg(F.collect_list(wanted).alias("wanted"))  # of one text, so of its size
+    single = long.select(*key, "text")
+    if not long.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+        single = single.dropDuplicates(key)  # whole repeated rows give their contexts once
+    contexts = materialize(single.join(wanted.hint("merge"), key).select(*key, "text", "wanted").mapInArrow(context_rows, CONTEXTS), "contexts")
+    release(spark)
+    # 2. buckets of sorted suffixes, 3. borders
+    size, some = contexts.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0)), F.count("window")).first()
+    buckets = max(1, partitions(spark), -(-int(size) // (bucket_bytes or BUCKET_BYTES)))
+    plain = contexts.filter("context is not null").drop("window", "start")
+    ranged = plain.withColumn("suffix", F.expr("substring(context, pre + 1)")).repartitionByRange(buckets, "suffix").drop("suffix")
+    found = materialize(ranged.mapInArrow(sort_bucket, FOUND), "found")
+    spans = found.filter("context is null").select(*key, "start", "end")
+    borders = found.filter("context is not null").drop("start", "end").groupBy("head").applyInArrow(across_borders, SPANS)
+    spans = spans.unionByName(borders)
+    if some:
+        crowd = contexts.filter("window is not null").select(*key, "window", "n", "start")
+        twice = materialize(crowd.groupBy("window").agg(F.sum("n").alias("times")).filter("times > 1"), "windows")
+        again = enrich(crowd, twice, ["window"], F.col("times") * 1000 >= F.lit(int(some)), "inner").filter("n = 1")
+        spans = spans.unionByName(again.select(*key, "start", (F.col("start") + LENGTH).alias("end")))
+    sure = classes.filter("n > 1").select("head", "class", "n")
+    rows = anchors.count()
+    copies = enrich(anchors, sure, ["head", "class"], F.col("n") * 1000 >= F.lit(rows), "inner")
+    spans = spans.unionByName(copies.select(*key, F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end")))
+    by_text = materialize(spans.groupBy(*key).agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    discard(anchors, classes, leads, contexts, found)
+    release(spark)
+    every = texts.join(by_text.hint("merge"), key, "left")
+    return every.select("doc_id", "text", "found").mapInArrow(remove, RESULT_DDL)

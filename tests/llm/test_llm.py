@@ -108,48 +108,60 @@ def test_cover_reaches_every_pair():
             assert any((a + d) % 13 in substring_dedup.COVER and (b + d) % 13 in substring_dedup.COVER for d in range(13))
 
 
-@pytest.mark.parametrize("crowd", [4096, 1])
-def test_suffix_dedup(docs, none, texts, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    raw = [(t or "").encode() for t in texts]
+def repeated_runs(raw):
+    """For each text the maximal runs of bytes in strings of 400 bytes that start anywhere else too."""
     count = Counter(t[k : k + 400] for t in raw for k in range(len(t) - 399))
-    got = rows_by_id(suffix_dedup.dedup_substrings(docs, 1 << 11))
-    for i, t in enumerate(raw):
-        gone = np.zeros(len(t), bool)
+    out = []
+    for t in raw:
+        gone = np.zeros(len(t) + 2, np.int8)
         for k in range(len(t) - 399):
             if count[t[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+                gone[k + 1 : k + 401] = 1
+        out.append([(int(a), int(b)) for a, b in np.flatnonzero(np.diff(gone)).reshape(-1, 2)])
+    return out
+
+
+def check_suffixes(docs, raw, bucket_bytes):
+    got = rows_by_id(suffix_dedup.dedup_substrings(docs, bucket_bytes))
+    for i, (t, runs) in enumerate(zip(raw, repeated_runs(raw))):
+        kept = b"".join(t[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(t)]))
         r = got[i]
-        assert (r["n_bytes"], r["n_removed"], bytes(r["kept"])) == (len(t), int(gone.sum()), bytes(np.frombuffer(t, np.uint8)[~gone]))
-        assert sum(s["end"] - s["start"] for s in r["spans"]) == gone.sum()
+        assert ([(s["start"], s["end"]) for s in r["spans"]], r["n_bytes"], r["n_removed"], bytes(r["kept"])) == (runs, len(t), len(t) - len(kept), kept)
+
+
+@pytest.mark.parametrize(("crowd", "piece"), [(4096, 1 << 19), (1, 1 << 10)])
+def test_suffix_dedup(docs, none, texts, crowd, piece, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)  # long texts are cut
+    check_suffixes(docs, [(t or "").encode() for t in texts], 1 << 11)
     assert suffix_dedup.dedup_substrings(none).count() == 0
 
 
-def test_suffixes_of_one_head_parted_by_a_splitter(spark, monkeypatch):
+def test_suffixes_of_one_lead_meet_across_borders(spark):
     rng = random.Random(7)
     say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
-    core = say(400)
-    raw = [say(100 + i) + core + say(120) for i in range(8)]
-    heads = []
-    for t in raw:
-        s = suffix_dedup.Slice(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
-        heads.append({int(h): int(x) for h, x in zip(s.heads, s.around(s.anchors)[0][:, 0])})
-    (head,) = set.intersection(*map(set, heads))
-    after = sorted(h[head] for h in heads)
-    assert len(set(after)) == len(raw)
-    splitters = np.array([[head, after[-1]]], np.uint64)  # one suffix on the far side, more than CROWD on this one
-    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
-    monkeypatch.setattr(suffix_dedup, "sample_splitters", lambda *_: splitters)
-    got = rows_by_id(suffix_dedup.dedup_substrings(spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string"), 1 << 9))
-    count = Counter(t[k : k + 400] for t in raw for k in range(len(t) - 399))
-    for i, t in enumerate(raw):
-        again = [k for k in range(len(t) - 399) if count[t[k : k + 400]] > 1]
-        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == [(again[0], again[-1] + 400)]
+    core, tails = say(330), [say(60) for _ in range(6)]
+    raw = [(say(100 + i % 5) + say(3) + core + tails[i % 6] + say(150)).encode() for i in range(40)] + [b"", b"x" * 900]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(raw)], "doc_id long, text string")
+    assert any(repeated_runs(raw))
+    for bucket_bytes in (700, 1 << 24):  # one suffix a bucket, and few buckets
+        check_suffixes(docs, raw, bucket_bytes)
+
+
+def test_suffixes_of_repeated_rows(spark):
+    rng = random.Random(8)
+    say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    one, two = say(700), say(700)
+    docs = spark.createDataFrame([(1, one), (1, one), (1, two), (None, two[100:600]), (None, say(500)), (2, "\u00fc" * 150 + two[:410])], "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_removed"], len(r["spans"])) for r in suffix_dedup.dedup_substrings(docs, 700).collect())
+    assert got == [(500, 0, 0), (500, 500, 1), (700, 600, 1), (700, 700, 1), (700, 700, 1), (710, 410, 1)]
 
 
 def test_multikey_quicksort():
-    tokens = np.random.default_rng(1).integers(0, 3, (500, 3)).astype(np.uint64)
-    assert (tokens[suffix_dedup.multikey_quicksort(tokens)] == tokens[np.lexsort(tokens.T[::-1])]).all()
+    for seed, high in ((1, 3), (2, 1), (3, 2**63)):
+        tokens = np.random.default_rng(seed).integers(0, high, (500, 3)).astype(np.uint64)
+        assert (tokens[suffix_dedup.multikey_quicksort(tokens)] == tokens[np.lexsort(tokens.T[::-1])]).all()
+    assert not len(suffix_dedup.multikey_quicksort(np.zeros((0, 2), np.uint64)))
 
 
 def shingles(t):
