@@ -85,6 +85,22 @@ def enrich(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column, how:
     return known.unionByName(rest)
 
 
+#: Ids that are broadcast, at most: 16 MB.
+FEW = 300_000
+
+
+def split_by_ids(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose column is surely not among ids (one column), and the others. If the counted ids are more than FEW, all are others.
+
+    The first part is not moved, so that a merge join behind this moves few rows where few ids matter.
+    """
+    if ids.count() > FEW:
+        return rows.limit(0), rows
+    (name,) = ids.columns
+    marked = rows.join(F.broadcast(ids.select(F.col(name).alias("__known"), F.lit(True).alias("__hit"))), F.col(column).cast("long").eqNullSafe(F.col("__known")), "left")
+    return marked.filter("__hit is null").select(*rows.columns), marked.filter("__hit").select(*rows.columns)
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application."""
     sc = spark.sparkContext

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, release
+from folioscope.llm.common import discard, enrich, materialize, release
+
+#: A node with a thousandth of all links is a hub; there are at most two thousand.
+HUB_SHARE = 1000
+#: A chain's length falls by a root in each round, so that no table of this world needs as many.
+ROUNDS = 200
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -16,29 +21,37 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("a", "b") % 1000003).cast("long"))).first())
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def _least(edges: DataFrame, total: int) -> DataFrame:
+    """edges with m, the least b of their a; the edges of hubs are not gathered."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__n"))
+    return enrich(edges, least, ["a"], F.col("__n") * HUB_SHARE >= F.lit(total), "inner").drop("__n")
+
+
+def components(links: DataFrame, most: int = ROUNDS) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches, for links (a, b) of long ids.
 
     Each round ties the larger neighbours of every node to its least neighbour, then the smaller ones; a chain's length
-    falls by a root, a star takes one round. Rounds are written to the shared folder; nothing but three sums reaches the driver.
+    falls by a root, a star takes one round. Rounds are written to the shared folder and the one before is deleted; nothing but
+    three sums reaches the driver. Raises if links still change after most rounds.
     """
-    spark = links.sparkSession
     edges = materialize(_directed(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))), "edges")
     state = _state(edges)
     for _ in range(most):
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _directed(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("x"), "a", "m")
-        small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialize(_directed(small), "edges")
-        release(spark)
+        large = _least(both, 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = materialize(_directed(large), "stars")
+        small = _least(large, state[0])
+        small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        new = materialize(_directed(small), "edges")
+        discard(edges, large)
+        edges = new
+        release(links.sparkSession)
         now = _state(edges)
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"links still change after {most} rounds")
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))

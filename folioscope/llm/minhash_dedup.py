@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SLICE, Words, grams, materialize, mix, partitions, release, ship, slices, text_buffer
+from folioscope.llm.common import SLICE, Words, grams, materialize, mix, partitions, release, ship, slices, split_by_ids, text_buffer
 from folioscope.llm.components import components
 
 SHINGLE = 5
@@ -209,5 +209,6 @@ def decide(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each group, with their own columns."""
-    gone = decide(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*docs.columns)
+    gone = materialize(decide(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    sure, others = split_by_ids(docs, "doc_id", gone)
+    return sure.unionByName(others.join(gone.hint("merge"), others["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*docs.columns))

@@ -9,11 +9,14 @@ number against the text's length. Tokens with a marginal of a half or more give
 
 Chains run along CHAIN words; longer texts are several chains, all scored. Cases: null and empty texts have no token and
 score as the curve's floor; without training rows of both classes every score is the share of toxic ones (0 without labels); empty
-tables give empty results; other columns are not read. The labelled sample is bounded by SAMPLE rows of each class.
+tables give empty results; other columns are not read. The field is trained in one executor task, on a labelled sample bounded by
+SAMPLE rows of each class and LONGEST bytes a text; the driver holds the weights that are not zero.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import SLICE, Words, fold_of, mix, powers, prefix_hash, ship, slices, text_buffer
 from folioscope.llm.labelled import labelled_sample
 
-SAMPLE = 1000
+SAMPLE, LONGEST = 3000, 1 << 16
 CHAIN = 64
 BUCKETS = 1 << 20
 OPENINGS = (4, 5, 6, 7, 8)
@@ -70,14 +73,28 @@ class Field:
     """Weights of buckets and of no bucket (bias), the four transitions, and the curve; state 1 is toxic."""
 
     def __init__(self):
-        self.weight = np.zeros(BUCKETS)
+        self.weight = np.zeros(BUCKETS, np.float32)
         self.bias = -4.0
         self.move = np.zeros((2, 2))
         self.curve = np.array([1.0, 0.0, 0.0, 0.0])
         self.flat: float | None = None
 
+    def __getstate__(self) -> dict:
+        """The weights that are not zero, as places and values."""
+        some = np.flatnonzero(self.weight).astype(np.int32)
+        return self.__dict__ | {"weight": (some, self.weight[some])}
+
+    def __setstate__(self, state: dict) -> None:
+        some, values = state["weight"]
+        weight = np.zeros(BUCKETS, np.float32)
+        weight[some] = values
+        self.__dict__.update(state | {"weight": weight})
+
     def emissions(self, keys: np.ndarray) -> np.ndarray:
-        return np.clip(self.weight[keys].sum(-1) + self.bias, -60, 60)
+        total = np.full(keys.shape[:-1], self.bias)
+        for column in np.moveaxis(keys, -1, 0):
+            total += self.weight[column]
+        return np.clip(total, -60, 60)
 
     def messages(self, e: np.ndarray, mask: np.ndarray):
         """Forward and backward ratios of toxic to clean, for chains as rows."""
@@ -111,7 +128,8 @@ class Field:
     def fit(self, keys: np.ndarray, at: np.ndarray, tags: np.ndarray, seed: int = 3) -> None:
         start, length = chains(at)
         rng = np.random.default_rng(seed)
-        sums = [np.full(BUCKETS, 1e-2), 1e-2, np.full((2, 2), 1e-2)]
+        sums = [np.full(BUCKETS, 1e-2, np.float32), 1e-2, np.full((2, 2), 1e-2)]
+        gradient = np.zeros(BUCKETS, np.float32)
         for _ in range(EPOCHS):
             order = rng.permutation(len(start))
             for a in range(0, len(order), 2048):
@@ -133,8 +151,14 @@ class Field:
                 joint = (joint / joint.sum(0))[:, both].sum(1).reshape(2, 2)
                 y0, y1 = y[:, :-1][both], y[:, 1:][both]
                 seen = np.array([[((1 - y0) * (1 - y1)).sum(), ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]])
-                gradient = np.bincount(own.ravel(), np.repeat(g, own.shape[1]), BUCKETS)
-                for i, (what, grad, rate) in enumerate((("weight", gradient, 0.3), ("bias", g.sum(), 0.1), ("move", seen - joint, 0.05))):
+                for column in own.T:
+                    np.add.at(gradient, column, g.astype(np.float32))
+                some = np.flatnonzero(gradient)  # only weights of this batch's buckets move
+                grad = gradient[some] - np.float32(0.02) * self.weight[some]
+                gradient[some] = 0
+                sums[0][some] += grad * grad
+                self.weight[some] += np.float32(0.3) * grad / np.sqrt(sums[0][some])
+                for i, what, grad, rate in ((1, "bias", g.sum(), 0.1), (2, "move", seen - joint, 0.05)):
                     w = getattr(self, what)
                     grad = grad - 0.02 * w * (np.abs(grad) > 0)
                     sums[i] = sums[i] + grad * grad
@@ -208,16 +232,21 @@ def collect_words(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int = SAMPLE) -> Field:
-    """is_training is over __id."""
+    """is_training is over __id. The sample meets in one executor task, which fits the field; its weights come back."""
     ship(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "toxic", is_training, sample).mapInArrow(collect_words, "doc_id long, label int, words binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["words"])))
     shares = {r["q"]: r["n"] for r in labels.withColumn("__id", F.col("doc_id").cast("long")).filter(is_training & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
-    y = np.array([r["label"] for r in rows], int)
-    each = [np.frombuffer(r["words"], np.uint32).reshape(-1, 1 + len(OPENINGS)) for r in rows]
-    rows.clear()
-    return fitted(each, y, shares.get(1, 0) / total if total else 0.0)
+    share = shares.get(1, 0) / total if total else 0.0
+
+    def fit(data: pa.Table) -> pa.Table:
+        data = data.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("words", "ascending")])
+        y = data.column("label").to_numpy().astype(int)
+        each = [np.frombuffer(w.as_buffer(), np.uint32).reshape(-1, 1 + len(OPENINGS)) for w in data.column("words")]
+        return pa.table({"field": pa.array([pickle.dumps(fitted(each, y, share))], pa.binary())})
+
+    rows = labelled_sample(docs, labels, "toxic", is_training, sample, LONGEST).mapInArrow(collect_words, "doc_id long, label int, words binary")
+    found = rows.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(fit, "field binary").collect()
+    return pickle.loads(bytes(found[0]["field"])) if found else fitted([], np.zeros(0, int), share)
 
 
 def fitted(each: list[np.ndarray], y: np.ndarray, share: float) -> Field:
@@ -227,7 +256,6 @@ def fitted(each: list[np.ndarray], y: np.ndarray, share: float) -> Field:
         return field
     at = np.concatenate([[0], np.cumsum([len(x) for x in each])])
     h = np.concatenate(each)
-    each.clear()  # the driver's memory holds the sample once
     doc = np.repeat(np.arange(len(y)), np.diff(at))
     tags = toxic_tags(h, doc, y)
     keys = emission_keys(h, at[:-1][np.diff(at) > 0])

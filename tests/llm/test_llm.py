@@ -65,7 +65,7 @@ def test_exact_dedup(docs, none, texts, spark):
         r = got[i]
         assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(groups[low]), len(groups[low]), i == max(groups[low]), hashlib.sha256(low.encode()).hexdigest())
     assert exact_dedup.decide(none).count() == 0
-    kept = exact_dedup.dedup(docs.unionByName(docs.limit(5)))
+    kept = exact_dedup.dedup(docs.unionByName(docs.filter("doc_id < 5")))  # limit() may pick other rows each time it runs
     assert kept.count() == len(groups) and kept.columns == docs.columns
 
 
