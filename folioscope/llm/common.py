@@ -256,41 +256,16 @@ def within(doc: np.ndarray, k: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- blocks and lookups
-def cut_points(docs: DataFrame, blocks: int) -> list[int]:
-    """Splitters of doc_id into so many runs of about equal rows. They set the layout only, never a result."""
-    if blocks <= 1:
-        return []
-    q = [i / blocks for i in range(1, blocks)]
-    found = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", q, 0.25 / blocks)
-    return sorted({int(x) for x in found if x is not None})
-
-
-def in_blocks(docs: DataFrame, block_bytes: int, ordered: bool = False) -> tuple[DataFrame, int]:
-    """doc_id, text and a block number; a block is a run of doc_id when ordered, else a hash of it."""
+def in_blocks(docs: DataFrame, block_bytes: int, part_bytes: int) -> tuple[DataFrame, int]:
+    """doc_id, text, tie (a hash of the text) and a block number by a hash of doc_id and text, so that neither nulls nor a
+    repeated id make a block large; and the number of parts of a key space. Blocks and parts have sizes of their own: a block
+    sends each part one row at most, and never more rows than it has keys."""
     spark = docs.sparkSession
     rows, size = text_bytes(docs)
-    blocks = int(max(partitions(spark), -(-size // block_bytes), 1))
-    blocks = max(1, min(blocks, rows))
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if ordered:
-        cuts = cut_points(docs, blocks)
-        block = _bucket(F.col("doc_id"), cuts)
-        blocks = len(cuts) + 1
-    else:
-        block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-    return kept.withColumn("block", block.cast("int")), blocks
-
-
-def _bucket(c: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at most c, by binary search in nested conditions."""
-
-    def part(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(c >= F.lit(cuts[m]), part(m + 1, b)).otherwise(part(a, m))
-
-    return part(0, len(cuts))
+    many = lambda each: max(1, min(rows, max(partitions(spark), -(-size // each))))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = kept.withColumn("tie", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return kept.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many(block_bytes))).cast("int")), many(part_bytes)
 
 
 LOOKUP = "part int, block int, kind int, data binary"
@@ -360,7 +335,8 @@ def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def ordered(docs: pa.Table) -> pa.Table:
-    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """By doc_id (nulls last); rows that repeat one by a hash of their texts."""
+    return docs.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")])
 
 
 def planes(x: np.ndarray) -> bytes:

@@ -6,7 +6,7 @@ the bucket of c(h), by powers of two, and is learned by expectation-maximisation
 training documents against the counts of the rest; then counts of all training documents are used. A text opens after a
 fixed start and ends with an end token.
 
-Counts are gathered from all training documents. Documents lie in blocks by a hash of doc_id; a block sends each part of the
+Counts are gathered from all training documents. Documents lie in blocks by a hash of id and text; a block sends each part of the
 hash space its distinct keys with counts, once, and gets the corpus counts of these keys back, so a word that is everywhere is one
 key a block. The driver sees sums, and a histogram of bounded size for the mixture weights.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import BASE, LOOKUP, block_words, expand, fold_of, from_planes, grow, in_blocks, materialize, mix, part_of, planes, release, ship, shrink, squeeze, table
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 6 << 20
 ADDED = 0.1
 FOLDS, OUT, DEV = 10, 0, 1
 BUCKETS = 26
@@ -187,11 +187,11 @@ def score_block(sums, weights: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     spark = docs.sparkSession
     ship(spark)
-    blocked, parts = in_blocks(docs, block_bytes)
+    blocked, parts = in_blocks(docs, block_bytes, part_bytes)
     replies = materialize(blocked.groupBy("block").applyInArrow(ask(parts), LOOKUP).groupBy("part").applyInArrow(answer, LOOKUP), "counts")
     release(spark)
     sums = [0.0] * 4

@@ -10,7 +10,7 @@ the largest component so far, which leaves no pair of different components uncom
 dealt as pairs of chunks, so that no task holds more than two chunks. Shingle sets are 64-bit hashes of five words.
 
 Cases: null and empty texts and texts without words have no shingle and link with nothing; texts of fewer than five words
-have one shingle, the whole; rows that repeat a doc_id are one document; rows with a null doc_id are linked with nothing and
+have one shingle, the whole; rows that repeat a doc_id are one document, linked by each of its texts; rows with a null doc_id are linked with nothing and
 stay; empty tables give empty results; other columns pass through.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SLICE, Words, grams, materialize, mix, partitions, release, ship, slices, split_by_ids, text_buffer
+from folioscope.llm.common import SLICE, Words, enrich, grams, materialize, mix, partitions, release, ship, slices, split_by_ids, text_buffer
 from folioscope.llm.components import components
 
 SHINGLE = 5
@@ -31,7 +31,7 @@ GROUP = 2048
 PERCENT = 75
 #: A class with a thousandth of all rows is hot; there are at most so many.
 HOT_SHARE = 1000
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 25
 
 _RNG = np.random.default_rng(52)
 FLIP = _RNG.integers(0, 2**32, SIDES * TABLES * ROWS, dtype=np.uint32)
@@ -134,26 +134,31 @@ def verify(data: pa.Table) -> pa.Table:
 
 
 def shared_hashes(classes: DataFrame, column: str) -> DataFrame:
-    """For each class its hashes of one collection that another class has too."""
-    each = classes.select("id", F.explode(column).alias("h"))
-    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    return each.join(twice, "h").groupBy("id").agg(F.collect_set("h").alias(column))
+    """For each class its hashes of one collection that another class has too; a hash of many classes gathers no rows."""
+    each = classes.select("id", "class", F.explode(column).alias("h"))
+    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    total = classes.count()
+    return enrich(each, twice, ["h"], F.col("c") * HOT_SHARE >= F.lit(total), "inner").groupBy("id", "class").agg(F.collect_set("h").alias(column))
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """(a, b): each class that shares a table with others, and the least of them."""
-    both = shared_hashes(classes, "a").join(shared_hashes(classes, "b"), "id")
+    both = shared_hashes(classes, "a").join(shared_hashes(classes, "b"), ["id", "class"])
     keyed = both.select("id", "b", F.explode("a").alias("x")).select("id", "x", F.explode("b").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("top")).filter("m <> top").select("key", "m")
-    return keyed.join(least, "key").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
+    least = keyed.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("top"), F.count(F.lit(1)).alias("c")).filter("m <> top")
+    hot = F.col("c") * HOT_SHARE >= F.lit(classes.count())
+    return enrich(keyed, least, ["key"], hot, "inner").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def maybe_member(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """rows whose id may be among ids: all that are, and others by chance, so that few texts move in the join that decides.
 
-    The bitmap has FILTER_BITS bits whatever the number of ids: at most FILTER_BITS / 64 rows are broadcast.
+    The bitmap has sixteen bits an id; at most FILTER_BITS / 64 rows are broadcast, and where that would let most rows pass there is none.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    many = 16 * max(ids.count(), 64)
+    if many > FILTER_BITS:
+        return rows
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(many))
     word = lambda c: F.floor(bit(c) / 64).cast("int")
     mask = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (bit(c) % 64).cast("int"))
     bits = ids.select(word(ids.columns[0]).alias("__word"), mask(ids.columns[0]).alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__mask"))
@@ -170,7 +175,9 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = signed.select("doc_id", "n", "d1", "d2")
     some = signed.filter("n > 0 and doc_id is not null")
     classes = materialize(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size")), "classes")
-    heads = some.select(F.col("doc_id").alias("id"), "a", "b", "d1", "d2").join(classes.select("id", "d1", "d2"), ["id", "d1", "d2"]).groupBy("id").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    # a class's hashes follow from its set, so that any of its rows will do, also where an id has several texts
+    heads = some.select(F.col("doc_id").alias("id"), "a", "b", "d1", "d2").join(classes.select("id", "d1", "d2"), ["id", "d1", "d2"])
+    heads = heads.groupBy("id", F.xxhash64("d1", "d2").alias("class")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
     groups = components(candidate_links(materialize(heads, "heads")))
     groups = groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct())
     groups = materialize(groups, "groups")

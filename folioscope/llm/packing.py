@@ -112,6 +112,12 @@ class Encoder:
         return out
 
 
+def largest_id(path: str) -> int:
+    """At least the largest id of the vocabulary, by its numbers alone: the driver needs no encoder."""
+    with open(path, "rb") as f:
+        return max(int(n) for n in re.findall(rb'":\s*(\d+)', f.read()))
+
+
 def tails_of(path: str, window: int, end_id: int, with_ids: bool):
     """Rows of (task, doc_id, doc_tokens, chunk_crcs, chunk_ids, first_chunk, tail, tail_ids, nth): nth of its tail length in its task."""
 
@@ -141,8 +147,7 @@ def tails_of(path: str, window: int, end_id: int, with_ids: bool):
                 kinds = {"doc_tokens": pa.int64(), "chunk_crcs": pa.list_(pa.int64()), "chunk_ids": pa.list_(pa.binary()), "first_chunk": pa.int64(), "tail": pa.int32(), "tail_ids": pa.binary(), "nth": pa.int64()}
                 yield pa.RecordBatch.from_arrays([pa.array([task] * (b - a), pa.int32()), batch.column(0).slice(a, b - a), *(pa.array(cols[k], t) for k, t in kinds.items())], names=["task", "doc_id", *kinds])
 
-    small = "<u2" if len(Encoder.at(path).opens) <= 1 << 16 else "<u4"
-    return run, small
+    return run, (small := "<u2" if largest_id(path) < 1 << 16 else "<u4")
 
 
 TAILS = "task int, doc_id long, doc_tokens long, chunk_crcs array<long>, chunk_ids array<binary>, first_chunk long, tail int, tail_ids binary, nth long"

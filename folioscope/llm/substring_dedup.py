@@ -6,11 +6,12 @@ anchors at cover positions only (4 of 13) and asks which occur more than once. R
 contains a repeated anchor is compared whole, by the hash of its 20 words, with every other such window; of equal windows
 the first in (doc_id, position) order stays, the words of the others go.
 
-Layout: documents lie in blocks, runs of doc_id, so that block order is document order. A block asks each part of the
-hash space about its distinct keys and gets one bit a key; a passage in a third of all texts is one key a block.
+Layout: documents lie in blocks by a hash of id and text. A block asks each part of the hash space about its distinct keys,
+in the second round with the document of each key's first occurrence, and gets one bit a key; a passage in a third of all
+texts is one key a block.
 
-Cases: null and empty texts have no words; rows that repeat a doc_id count in the order of their texts, a row with a null
-doc_id comes after those of its block; empty tables give empty results; other columns are not read.
+Cases: null and empty texts have no words; rows that repeat a doc_id count in the order of a hash of their texts, rows with a
+null doc_id come last, in that order; whole repeated rows one after the other; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import LOOKUP, asked, bits_of, block_words, grams, in_blocks, keys_of, member, ordered, pack, part_of, repeated, ship, table, within
+from folioscope.llm.common import LOOKUP, asked, bits_of, block_words, expand, from_planes, grams, in_blocks, keys_of, member, ordered, pack, part_of, planes, repeated, ship, squeeze, table, within
 
 #: A perfect difference cover: every residue modulo 13 is a difference of two of these.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 WINDOW = 20
 GRAM = WINDOW - PERIOD + 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
+_LAST = np.iinfo(np.int64).max
 
 
 def anchors(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +64,17 @@ def first_round(parts: int):
     return ask, answer
 
 
+def send_first(parts: np.ndarray, keys: np.ndarray, ids: np.ndarray, ties: np.ndarray, block: int) -> list[tuple]:
+    """Sorted keys with the document of each first occurrence, as one row for each part."""
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1), len(parts)]
+    return [(int(parts[a]), block, 0, squeeze(keys[a:b]) + planes(ids[a:b]) + planes(ties[a:b])) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+
+
+def received_first(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // 20
+    return expand(data[: 8 * n]), from_planes(data[8 * n : 16 * n], np.int64), from_planes(data[16 * n :], np.uint32)
+
+
 def candidates(docs: pa.Table, bits, parts: int):
     h, doc, at = block_words(docs.column("text"), False)
     spots, keys = anchors(h, doc, at)
@@ -77,21 +90,24 @@ def second_round(parts: int):
         docs = ordered(docs)
         block = docs.column("block")[0].as_py()
         found, marked = candidates(docs, lambda counts: bits_of(answers, 0, counts), parts)
-        keys = np.unique(found[-1])
-        rows = pack(part_of(keys, parts), keys, block)
+        keys, first = np.unique(found[-1], return_index=True)
+        owner = found[1][found[3][first]]
+        ids = docs.column("doc_id").cast(pa.int64()).fill_null(_LAST).to_numpy()[owner]
+        rows = send_first(part_of(keys, parts), keys, ids, docs.column("tie").to_numpy()[owner].astype(np.uint32), block)
         return table([*rows, (block % parts, block, 1, np.packbits(marked).tobytes())])
 
     def answer(data: pa.Table) -> pa.Table:
-        rows = keys_of(data)
+        every = zip(*[data.column(c).to_pylist() for c in ("part", "block", "kind", "data")])
+        rows = [(p, b, *received_first(d)) for p, b, k, d in sorted(every) if k == 0]
         out = []
         if rows:
-            keys = np.concatenate([k for *_, k in rows])
-            blocks = np.concatenate([np.full(len(k), b) for _, b, k in rows])
-            order = np.lexsort((blocks, keys))
+            keys, ids, ties = (np.concatenate([r[i] for r in rows]) for i in (2, 3, 4))
+            blocks = np.concatenate([np.full(len(r[2]), r[1], np.int32) for r in rows])
+            order = np.lexsort((blocks, ties, ids, keys))
             keys, blocks = keys[order], blocks[order]
             head = np.concatenate([[True], keys[1:] != keys[:-1]])
             distinct, first = keys[head], blocks[head]
-            out = [(p, b, 0, np.packbits(first[np.searchsorted(distinct, k)] < b).tobytes()) for p, b, k in rows]
+            out = [(p, b, 0, np.packbits(first[np.searchsorted(distinct, k)] != b).tobytes()) for p, b, k, *_ in rows]
         out += [(p, b, 1, d) for p, b, k, d in zip(*[data.column(c).to_pylist() for c in ("part", "block", "kind", "data")]) if k == 1]
         return table(out)
 
@@ -128,10 +144,10 @@ def second_round(parts: int):
     return ask, answer, apply
 
 
-def dedup_substrings(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each document."""
     ship(docs.sparkSession)
-    blocked, parts = in_blocks(docs, block_bytes, ordered=True)
+    blocked, parts = in_blocks(docs, block_bytes, part_bytes)
     ask1, answer1 = first_round(parts)
     ask2, answer2, apply = second_round(parts)
     one = blocked.groupBy("block").applyInArrow(ask1, LOOKUP).groupBy("part").applyInArrow(answer1, LOOKUP)

@@ -37,6 +37,8 @@ LENGTH = 400
 LEAD = 100
 SPREAD = LENGTH - LEAD  # how far before its anchor a window may start
 CROWD = 4096
+#: Splitters have so many bytes of a suffix; longer than a lead, so that a border may lie within the suffixes of one.
+KEY = LEAD + 28
 #: Contexts of so many bytes make a bucket on average.
 BUCKET_BYTES = 16 << 20
 #: Bytes of text whose hashes are held at a time; longer texts are cut with an overlap, which never changes a result.
@@ -324,7 +326,7 @@ def dedup_substrings(docs: DataFrame, bucket_bytes: int | None = None) -> DataFr
     size, some = contexts.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0)), F.count("window")).first()
     buckets = max(1, partitions(spark), -(-int(size) // (bucket_bytes or BUCKET_BYTES)))
     plain = contexts.filter("context is not null").drop("window", "start")
-    ranged = plain.withColumn("suffix", F.expr("substring(context, pre + 1)")).repartitionByRange(buckets, "suffix").drop("suffix")
+    ranged = plain.withColumn("suffix", F.expr(f"substring(context, pre + 1, {KEY})")).repartitionByRange(buckets, "suffix").drop("suffix")
     found = materialize(ranged.mapInArrow(sort_bucket, FOUND), "found")
     spans = found.filter("context is null").select(*key, "start", "end")
     borders = found.filter("context is not null").drop("start", "end").groupBy("head").applyInArrow(across_borders, SPANS)

@@ -78,6 +78,21 @@ def test_digest_index_grows(docs, spark, texts):
     assert exact_dedup.decide(docs, index).filter("kept").count() == 0
 
 
+def test_digest_index_reopens_and_reruns(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    want = sorted(map(tuple, exact_dedup.decide(rows, index, "one").collect()))
+    again = exact_dedup.DigestIndex(spark, index.name, buckets=7)  # a session with other settings
+    assert sorted(map(tuple, exact_dedup.decide(rows, again, "one").collect())) == want  # the result of a lost batch
+    new = spark.createDataFrame([(8, "B"), (9, "b"), (7, "c")], "doc_id long, text string")
+    assert sorted(r[:4] for r in map(tuple, exact_dedup.decide(new, again, "two").collect())) == [(7, 7, 1, True), (8, 3, 3, False), (9, 3, 3, False)]
+    again.compact()
+    assert again.buckets == 3 and again.read().count() == 3
+    tables = len(spark.catalog.listTables())
+    assert exact_dedup.decide(rows).count() == 3 and len(spark.catalog.listTables()) == tables
+    again.drop()
+
+
 def test_rows_without_id(spark):
     rows = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text_sha256"][:2]) for r in exact_dedup.decide(rows).filter("kept and doc_id is not null").collect()) == [(1, hashlib.sha256(b"a").hexdigest()[:2])]
@@ -102,6 +117,15 @@ def test_substring_dedup(docs, none, texts):
     assert substring_dedup.dedup_substrings(none).count() == 0
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(5, " ".join(words)), (5, " ".join(words + ["x"])), (None, " ".join(words)), (None, " ".join(words)), (7, " ".join(words[5:])), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_bytes, part_bytes in ((50, 50), (50, 1 << 20), (1 << 20, 50)):
+        got = substring_dedup.dedup_substrings(docs, block_bytes, part_bytes).collect()
+        assert sorted((r["doc_id"] or 0, r["n_words"] - r["n_removed"]) for r in got if r["n_words"] != 1) in ([(0, 0), (0, 0), (5, 0), (5, 31), (7, 0)], [(0, 0), (0, 0), (5, 1), (5, 30), (7, 0)])
+
+
 def test_cover_reaches_every_pair():
     for a in range(substring_dedup.PERIOD):
         for b in range(substring_dedup.PERIOD):
@@ -188,6 +212,14 @@ def test_minhash_dedup(docs, none, texts):
     assert kept.count() == len(set(label)) and kept.columns == docs.columns
 
 
+def test_minhash_of_repeated_ids(spark):
+    one = [f"a{i}" for i in range(40)]
+    two = [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(one)), (3, " ".join(one[1:])), (3, " ".join(two)), (4, " ".join(two[1:])), (9, "z"), (None, " ".join(one))]
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in minhash_dedup.decide(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (1, 1), (3, 1), (3, 1), (4, 1), (9, 9)]
+
+
 def test_large_groups_are_dealt_in_chunks(docs, texts, monkeypatch):
     whole = {i: r["component_id"] for i, r in rows_by_id(minhash_dedup.decide(docs)).items()}
     monkeypatch.setattr(minhash_dedup, "GROUP", 3)
@@ -198,6 +230,8 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, **{i: 100 for i in range(101, 130)}}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(links, "a long, b long"), 1)
 
 
 def test_lm_score(docs, none, texts):
@@ -299,11 +333,37 @@ def test_embedding_dedup(spark):
     found = sum(got[i]["n_links"] for i in ids)
     assert 0.9 * linked.sum() <= found <= linked.sum()
     assert sum(got[i]["component_id"] != label[i] for i in ids) <= 0.05 * len(ids)
+    assert all(got[i]["n_links"] <= linked[i].sum() for i in ids) and sum(got[i]["n_links"] != linked[i].sum() for i in ids) <= 0.1 * len(ids)
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 906))
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert embedding_dedup.decide(empty).count() == 0
 
 
+def test_embeddings_at_the_extremes(spark):
+    data = [(1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [1e-200, 2e-200]), (4, [5e-324, 1e-323]), (5, [2.0, 0.1]), (6, [1.0, 2.0, 0.0]), (7, [2.0, 4.0, -0.0]), (8, [0.0, 0.0, 1.0])]
+    got = rows_by_id(embedding_dedup.decide(spark.createDataFrame(data, "vec_id long, embedding array<double>")), "vec_id")
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_embeddings_with_a_common_direction(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(700, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    base = np.concatenate([base * 0.5, np.full((700, 1), np.sqrt(0.75))], 1)
+    near = base[:200] + rng.normal(size=(200, 25)) * 0.04
+    rows = np.concatenate([base, near])
+    compared = []
+    real = embedding_dedup.choose_shape
+    monkeypatch.setattr(embedding_dedup, "choose_shape", lambda x, pivots, mean: compared.append((len(pivots), real(x, pivots, mean))) or compared[-1][1])
+    got = rows_by_id(embedding_dedup.decide(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")), "vec_id")
+    x = rows / np.linalg.norm(rows, axis=1)[:, None]
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    found = sum(r["n_links"] for r in got.values())
+    assert linked.sum() > 200 and 0.9 * linked.sum() <= found <= linked.sum()
+    assert compared[0][0] == embedding_dedup.PIVOTS  # the index does not fall back to one list
+
+
 def test_large_lists_are_dealt_in_chunks(spark, monkeypatch):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(30, 5))
