@@ -101,9 +101,16 @@ def split_by_ids(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFram
     return marked.filter("__hit is null").select(*rows.columns), marked.filter("__hit").select(*rows.columns)
 
 
+#: Rows of texts that Spark and a Python worker exchange at a time; its usual 10000 rows of long texts fill hundreds of MB.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application."""
+    """Give executors this package, once per application; and small Arrow batches, unless the session has set its own."""
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
     if getattr(sc, "_folioscope_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -366,6 +373,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Give memory that numpy and Arrow no longer use back to the system; workers live longer than their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run):
+    """A function of mapInArrow that tidies up after its partition."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def asked(keys: np.ndarray, parts: int) -> np.ndarray:
     """How many of the keys go to each part."""
     return np.bincount(part_of(keys, parts), minlength=parts)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import discard, enrich, materialize, release
+from folioscope.llm.common import discard, enrich, materialize, release, tidied
 
 #: A node with a thousandth of all links is a hub; there are at most two thousand.
 HUB_SHARE = 1000
@@ -17,8 +19,35 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("a", "b") % 1000003).cast("long"))).first())
+def forest(batches):
+    """Links of a partition, with each id tied to the least one that it reaches there: never more links than ids."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+    ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = where[: len(a)], where[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, and three sums over them, taken as they are written."""
+    seen = Observation()
+    code = F.xxhash64("a", "b")
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(code).alias("x"), F.sum((code % 1000003).cast("long")).alias("s")), "edges")
+    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
 def _least(edges: DataFrame, total: int) -> DataFrame:
@@ -30,12 +59,13 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
 def components(links: DataFrame, most: int = ROUNDS) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches, for links (a, b) of long ids.
 
-    Each round ties the larger neighbours of every node to its least neighbour, then the smaller ones; a chain's length
+    Links are first thinned within each partition. Each round ties the larger neighbours of every node to its least neighbour, then the smaller ones; a chain's length
     falls by a root, a star takes one round. Rounds are written to the shared folder and the one before is deleted; nothing but
     three sums reaches the driver. Raises if links still change after most rounds.
     """
-    edges = materialize(_directed(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))), "edges")
-    state = _state(edges)
+    given = materialize(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b"), "links")
+    edges, state = _written(_directed(given.mapInArrow(tidied(forest), "a long, b long")))
+    discard(given)
     for _ in range(most):
         if not state[0]:
             break
@@ -44,11 +74,10 @@ def components(links: DataFrame, most: int = ROUNDS) -> DataFrame:
         large = materialize(_directed(large), "stars")
         small = _least(large, state[0])
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        new = materialize(_directed(small), "edges")
+        new, now = _written(_directed(small))
         discard(edges, large)
         edges = new
         release(links.sparkSession)
-        now = _state(edges)
         if now == state:
             break
         state = now

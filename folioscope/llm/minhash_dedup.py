@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SLICE, Words, enrich, grams, materialize, mix, partitions, release, ship, slices, split_by_ids, text_buffer
+from folioscope.llm.common import SLICE, Words, discard, enrich, grams, materialize, mix, partitions, release, ship, slices, split_by_ids, text_buffer, tidied
 from folioscope.llm.components import components
 
 SHINGLE = 5
@@ -143,11 +143,10 @@ def shared_hashes(classes: DataFrame, column: str) -> DataFrame:
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """(a, b): each class that shares a table with others, and the least of them."""
-    both = shared_hashes(classes, "a").join(shared_hashes(classes, "b"), ["id", "class"])
+    both = materialize(shared_hashes(classes, "a").join(shared_hashes(classes, "b"), ["id", "class"]), "shared")
     keyed = both.select("id", "b", F.explode("a").alias("x")).select("id", "x", F.explode("b").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("top"), F.count(F.lit(1)).alias("c")).filter("m <> top")
-    hot = F.col("c") * HOT_SHARE >= F.lit(classes.count())
-    return enrich(keyed, least, ["key"], hot, "inner").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
+    least = keyed.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("top")).filter("m <> top").select("key", "m")
+    return keyed.join(least, "key").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def maybe_member(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -171,22 +170,25 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     ship(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(plain.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, a array<long>, b array<long>"), "signatures")
+    signed = materialize(plain.mapInArrow(tidied(sign), "doc_id long, n long, d1 long, d2 long, a array<long>, b array<long>"), "signatures")
     rows = signed.select("doc_id", "n", "d1", "d2")
     some = signed.filter("n > 0 and doc_id is not null")
     classes = materialize(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size")), "classes")
     # a class's hashes follow from its set, so that any of its rows will do, also where an id has several texts
     heads = some.select(F.col("doc_id").alias("id"), "a", "b", "d1", "d2").join(classes.select("id", "d1", "d2"), ["id", "d1", "d2"])
     heads = heads.groupBy("id", F.xxhash64("d1", "d2").alias("class")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    groups = components(candidate_links(materialize(heads, "heads")))
+    heads = materialize(heads, "heads")
+    release(spark)
+    groups = components(candidate_links(heads))
     groups = groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct())
     groups = materialize(groups, "groups")
+    discard(heads)
     release(spark)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / GROUP).cast("int").alias("chunks"))
     dealt = groups.join(sizes, "component").select("id", F.col("component").alias("grp"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
     likely = maybe_member(plain, "doc_id", dealt.select("id"))
     texts = likely.join(dealt.hint("merge"), likely["doc_id"] == dealt["id"]).select(F.col("id"), "text", "grp", "chunk", "chunks")
-    sets = texts.mapInArrow(gather_sets, "id long, grp long, chunk int, chunks int, shingles binary")
+    sets = texts.mapInArrow(tidied(gather_sets), "id long, grp long, chunk int, chunks int, shingles binary")
     # small groups share tasks; a large one is dealt as pairs of chunks
     bins = max(partitions(spark), 1) * 4
     other = F.explode(F.expr("sequence(0, chunks - 1)"))

@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, ship, slices
+from folioscope.llm.common import materialize, ship, slices, tidied, tidy
 
 WINDOW = 2048
 END_ID = 1
 #: Most padding of a greedy combination, in tokens.
 SLACK = 8
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 UNSAFE = re.compile(r"\s[ ]|[ ]\s|[ ]\Z|\A[ ]|\A\Z")
 
 
@@ -55,7 +55,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -65,11 +64,20 @@ class Encoder:
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         ranks = {bytes(byte_of[c] for c in word): n for word, n in spec["model"]["vocab"].items() if word not in special}
         self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._slow = path, None
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.opens = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.opens[[n for word, n in ranks.items() if word[:1] == b" "]] = True
 
+    @property
+    def slow(self):
+        """The library's own encoder, for texts that hold special tokens; most workers never load it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     @classmethod
     def at(cls, path: str) -> "Encoder":
         if path not in _ENCODERS:
@@ -147,7 +155,12 @@ def tails_of(path: str, window: int, end_id: int, with_ids: bool):
                 kinds = {"doc_tokens": pa.int64(), "chunk_crcs": pa.list_(pa.int64()), "chunk_ids": pa.list_(pa.binary()), "first_chunk": pa.int64(), "tail": pa.int32(), "tail_ids": pa.binary(), "nth": pa.int64()}
                 yield pa.RecordBatch.from_arrays([pa.array([task] * (b - a), pa.int32()), batch.column(0).slice(a, b - a), *(pa.array(cols[k], t) for k, t in kinds.items())], names=["task", "doc_id", *kinds])
 
-    return run, (small := "<u2" if largest_id(path) < 1 << 16 else "<u4")
+    def whole(batches):
+        yield from run(batches)
+        _ENCODERS.clear()  # workers live on for other tasks, which need no encoder
+        tidy()
+
+    return whole, (small := "<u2" if largest_id(path) < 1 << 16 else "<u4")
 
 
 TAILS = "task int, doc_id long, doc_tokens long, chunk_crcs array<long>, chunk_ids array<binary>, first_chunk long, tail int, tail_ids binary, nth long"
@@ -302,10 +315,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
         F.when(is_cut, F.lit(first_cut) + F.floor(position / window)).otherwise(F.col("slot.seq") + F.col("rank") - F.col("slot.a")).cast("long").alias("seq"),
         F.when(is_cut, position % window).otherwise(F.col("slot.at")).cast("long").alias("at"),
     )
-    placed = tails.mapInArrow(cut_tails(window, small, with_ids), PIECES_DDL)
+    placed = tails.mapInArrow(tidied(cut_tails(window, small, with_ids)), PIECES_DDL)
     # whole windows are sequences of their own, numbered by task
     per_task = rows.groupBy("task").agg(F.sum(F.size("chunk_crcs")).alias("chunks"))
     per_task = per_task.select("task", F.coalesce(F.sum("chunks").over(Window.partitionBy().orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     full = rows.filter(F.size("chunk_crcs") > 0).join(per_task, "task").select("doc_id", "doc_tokens", (F.col("earlier") + F.col("first_chunk") + last).alias("base"), "chunk_ids", F.posexplode("chunk_crcs").alias("i", "crc"))
     full = full.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("base") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.expr("get(chunk_ids, i)").alias("ids"))
-    return placed.unionByName(full.mapInArrow(widen(small), PIECES_DDL) if with_ids else full)
+    return placed.unionByName(full.mapInArrow(tidied(widen(small)), PIECES_DDL) if with_ids else full)

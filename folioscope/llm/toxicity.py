@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SLICE, Words, fold_of, mix, powers, prefix_hash, ship, slices, text_buffer
+from folioscope.llm.common import SLICE, Words, fold_of, mix, powers, prefix_hash, ship, slices, text_buffer, tidied, tidy
 from folioscope.llm.labelled import labelled_sample
 
 SAMPLE, LONGEST = 3000, 1 << 16
@@ -242,9 +242,12 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int =
         data = data.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("words", "ascending")])
         y = data.column("label").to_numpy().astype(int)
         each = [np.frombuffer(w.as_buffer(), np.uint32).reshape(-1, 1 + len(OPENINGS)) for w in data.column("words")]
-        return pa.table({"field": pa.array([pickle.dumps(fitted(each, y, share))], pa.binary())})
+        found = pickle.dumps(fitted(each, y, share))
+        del data, each
+        tidy()
+        return pa.table({"field": pa.array([found], pa.binary())})
 
-    rows = labelled_sample(docs, labels, "toxic", is_training, sample, LONGEST).mapInArrow(collect_words, "doc_id long, label int, words binary")
+    rows = labelled_sample(docs, labels, "toxic", is_training, sample, LONGEST).mapInArrow(tidied(collect_words), "doc_id long, label int, words binary")
     found = rows.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(fit, "field binary").collect()
     return pickle.loads(bytes(found[0]["field"])) if found else fitted([], np.zeros(0, int), share)
 
@@ -297,7 +300,7 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
             join = lambda x: np.concatenate(x) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(join(scores), pa.float64()), pa.array(join(expected), pa.float64()), pa.array(spans, span)], names=["doc_id", "score", "toxic_words", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), SCORED)
 
 
 def is_training(doc_id: Column) -> Column:
@@ -328,4 +331,4 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
