@@ -41,24 +41,8 @@ AGGREGATE = """count(*) AS regions, CAST(sum(edits) AS DOUBLE) / nullif(sum(char
   CAST(sum(chars) AS BIGINT) AS reference_characters, CAST(sum(crit) AS BIGINT) AS critical_characters"""
 
 # ------------------------------------------------------------ edits
-PAIRS = """pairs AS (SELECT * FROM (SELECT conv_id, turn, substr(text, 1, 20) AS reference,
-  substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 20) AS prediction FROM conversations) WHERE prediction IS NOT NULL)"""
-# Alignment by recursion over the cells of the matrix, one row of the matrix a step.
-ALIGN = f"""WITH RECURSIVE {PAIRS},
-p AS (SELECT conv_id, turn, string_split(reference, '') AS r, string_split(prediction, '') AS q FROM pairs WHERE reference <> '' AND prediction <> ''),
-rows_(conv_id, turn, r, q, i, d, c) AS (
-  SELECT conv_id, turn, r, q, 0, list_transform(range(len(q) + 1), lambda x: CAST(x AS INT)), list_transform(range(len(q) + 1), lambda x: 0) FROM p
-  UNION ALL
-  SELECT conv_id, turn, r, q, i + 1, list_transform(n, lambda x: x.d), list_transform(n, lambda x: x.c) FROM (
-    SELECT conv_id, turn, r, q, i, list_reduce(list_transform(range(1, len(q) + 1), lambda x: [{{'d': CAST(x AS INT), 'c': 0}}]),
-      lambda acc, x: list_append(acc, CASE
-        WHEN d[x[1].d] + s(r[i + 1] <> q[x[1].d]) <= d[x[1].d + 1] + 1 AND d[x[1].d] + s(r[i + 1] <> q[x[1].d]) <= acc[x[1].d].d + 1
-          THEN {{'d': CAST(d[x[1].d] + s(r[i + 1] <> q[x[1].d]) AS INT), 'c': CAST(c[x[1].d] + s(r[i + 1] <> q[x[1].d]) * k AS INT)}}
-        WHEN d[x[1].d + 1] + 1 <= acc[x[1].d].d + 1 THEN {{'d': CAST(d[x[1].d + 1] + 1 AS INT), 'c': CAST(c[x[1].d + 1] + k AS INT)}}
-        ELSE {{'d': CAST(acc[x[1].d].d + 1 AS INT), 'c': CAST(acc[x[1].d].c AS INT)}} END),
-      [{{'d': CAST(d[1] + 1 AS INT), 'c': CAST(c[1] + k AS INT)}}]) AS n
-    FROM (SELECT *, s(regexp_matches(r[i + 1], '{CRIT}')) AS k FROM rows_ WHERE i < len(r))))
-SELECT conv_id, turn, CAST(d[-1] AS BIGINT) AS edits{{more}} FROM rows_ WHERE i = len(r)""".replace("s(r[i + 1] <> q[x[1].d])", "CAST(r[i + 1] <> q[x[1].d] AS INT)").replace(f"s(regexp_matches(r[i + 1], '{CRIT}'))", f"CAST(regexp_matches(r[i + 1], '{CRIT}') AS INT)")
+PAIRS = """pairs AS (SELECT * FROM (SELECT conv_id, turn, text AS reference,
+  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prediction FROM conversations) WHERE prediction IS NOT NULL)"""
 
 # ------------------------------------------------------------ tables
 CELLS = """cells{n} AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, (l_linenumber - 1) // 2 AS row_, (l_linenumber - 1) % 2 AS col_,
@@ -83,7 +67,7 @@ BOXES = """boxes AS (SELECT vec_id, [x, y, x + abs(CAST(embedding[3] AS DOUBLE)
   FROM (SELECT *, (CAST(embedding[1] AS DOUBLE) + 1) * 400 AS x, (CAST(embedding[2] AS DOUBLE) + 1) * 400 AS y FROM embeddings))"""
 BOX_OK = "b[1] >= 0 AND b[1] < b[3] AND b[3] <= {w} AND b[2] >= 0 AND b[2] < b[4] AND b[4] <= {h}"
 GEOMETRY = f"""WITH {ONCE}, c AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, (l_linenumber - 1) * 100.0 AS top,
-  l_linenumber * 100.0 - CASE WHEN l_partkey % 11 = 0 THEN 30.0 WHEN l_partkey % 7 = 0 THEN 1.0 ELSE 0.0 END AS bottom FROM lines_once WHERE l_linenumber <= 4),
+  l_linenumber * 100.0 - CASE WHEN l_partkey % 11 = 0 THEN 30.0 WHEN l_partkey % 7 = 0 THEN 1.0 ELSE 0.0 END AS bottom FROM lines_once),
 t AS (SELECT table_id, max(pos) AS n, count(*) AS k FROM c GROUP BY 1),
 e AS (SELECT c.table_id, bool_or(abs(d.top - c.bottom) > n * 100.0 * 0.02) AS off FROM c JOIN t USING (table_id) LEFT JOIN c d ON c.table_id = d.table_id AND d.pos = c.pos + 1 GROUP BY 1)
 SELECT table_id, NOT coalesce(off, false) AND n = k AS topology_valid FROM t JOIN e USING (table_id)"""
@@ -91,7 +75,7 @@ SELECT table_id, NOT coalesce(off, false) AND n = k AS topology_valid FROM t JOI
 # ------------------------------------------------------------ policy
 PRIORITY = """CASE WHEN event_id % 64 // 8 % 2 = 1 THEN 0 WHEN event_id % 64 // 4 % 2 = 1 OR event_id % 4 = 3 THEN 1 WHEN event_id % 64 // 16 % 2 = 1 THEN 2 END"""
 OUTPUTS = """o AS (SELECT conv_id, turn, (turn + conv_id) AS k, text AS t FROM conversations),
-u AS (SELECT *, CASE k % 9 WHEN 0 THEN '' WHEN 1 THEN 'Here is it' WHEN 2 THEN '```' || t WHEN 3 THEN '{' || t || '}' WHEN 4 THEN '}{' || substr(t, 1, 9) ELSE substr(t, 1, 40) END AS text FROM o)"""
+u AS (SELECT *, CASE k % 9 WHEN 0 THEN '' WHEN 1 THEN 'Here is it' WHEN 2 THEN '```' || t WHEN 3 THEN '{' || t || '}' WHEN 4 THEN '}{' || t ELSE t END AS text FROM o)"""
 VERDICT = """CASE WHEN k % 13 = 0 THEN 'timeout' WHEN k % 17 = 0 THEN 'invalid_response' WHEN k % 19 = 0 OR k % 23 = 0 THEN 'truncated' WHEN trim(text) = '' THEN 'empty_output'
   WHEN k % 9 IN (1, 2) THEN 'nonliteral_output' WHEN k % 2 = 1 AND contains(trim(text, chr(10) || ' '), chr(10)) THEN 'multiple_annotation_output'
   WHEN k % 2 = 0 AND (k % 9 = 4 OR length(replace(text, '{', '')) <> length(replace(text, '}', ''))) THEN 'invalid_formula_structure' ELSE 'ok' END"""
@@ -117,7 +101,7 @@ miss AS (SELECT region_id // 3 AS group_id, string_agg(CAST(region_id AS VARCHAR
 SELECT group_id, reviewed_candidates, coalesce(u, '') AS unreviewed, CASE WHEN u IS NULL THEN 'candidates_available' ELSE 'partial' END AS review_status FROM made LEFT JOIN miss USING (group_id)"""
 
 # ------------------------------------------------------------ literals
-TOKENS = """d AS (SELECT doc_id, substr(text, 1, 60) AS t, doc_id % 20 AS n FROM documents),
+TOKENS = """d AS (SELECT doc_id, text AS t, doc_id % 20 AS n FROM documents),
 k AS (SELECT *, '__LITERAL_0_' || upper(substr(sha256(substr(t, 4, 4)), 1, 12)) || '__' AS t0, '__LITERAL_1_' || upper(substr(sha256(substr(t, 11, CAST(n AS INT))), 1, 12)) || '__' AS t1,
   n > 0 AND 10 + n <= length(t) AND length(t) >= 7 AS good FROM d)"""
 
@@ -165,8 +149,6 @@ SELECT scene, kind, field, measured, CASE WHEN scene < 'src5' THEN measured END
     "request_percentiles": "SELECT user_id, quantile_cont(value, 0.5) FILTER (event_type <> 'error') AS p50_seconds, quantile_cont(value, 0.95) FILTER (event_type <> 'error') AS p95_seconds, max(value) FILTER (event_type <> 'error') AS max_seconds, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events WHERE event_id % 10 <> 0 GROUP BY 1",
     "duplicate_guard": "SELECT md5(text) AS digest, source, count(*) AS copies FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
     "check_rollup": "SELECT page_id % 4 AS record, bool_and(contains(html, '<a href')) AS ok, count(*) FILTER (contains(html, '<a href')) AS checks_passed, count(*) FILTER (NOT contains(html, '<a href')) AS checks_failed FROM pages GROUP BY 1",
-    "edit_distance": ALIGN.replace("{more}", ""),
-    "critical_edits": ALIGN.replace("{more}", ", CAST(c[-1] AS BIGINT) AS critical_errors"),
     "critical_count": f"SELECT conv_id, turn, len(regexp_extract_all(text, '{CRIT}')) AS critical FROM conversations",
     "table_validate": TABLE_VALIDATE,
     "table_score": TABLE_SCORE,
@@ -214,7 +196,7 @@ f AS (SELECT conv_id, turn, role, string_split_regex(text, '\\. ')[1] AS t FROM
 l AS (SELECT conv_id, count(*) AS n FROM s WHERE length(t) % 3 = 0 GROUP BY 1),
 o AS (SELECT conv_id, count(*) FILTER (role = 'user' AND length(t) % 3 = 0) AS n, count(*) FILTER (role <> 'user' AND turn % 2 = 1) AS raw, count(*) FILTER (role <> 'user' AND turn % 4 = 1) AS cells, count(*) AS pages FROM f GROUP BY 1)
 SELECT conv_id AS doc_id, pages AS page_count, coalesce(l.n, 0) + o.n + raw AS nonempty_translated_entries, coalesce(l.n, 0) + o.n + raw AS translated_entries_with_script, cells AS current_cells_with_script FROM o LEFT JOIN l USING (conv_id)""",
-    "response_log": """WITH r AS (SELECT conv_id, turn % 2 = 0 OR conv_id % 7 <> 3 AS t_ok, turn % 2 = 0 AS one, trim(substr(text, 1, 4)) <> '' AND (turn % 2 = 0 OR trim(substr(text, 5, 4)) <> '') AS q_ok FROM conversations),
+    "response_log": """WITH r AS (SELECT conv_id, turn % 2 = 0 OR conv_id % 7 <> 3 AS t_ok, turn % 2 = 0 AS one, CASE WHEN turn % 2 = 0 THEN trim(text) <> '' ELSE trim(substr(text, 1, 4)) <> '' AND trim(substr(text, 5)) <> '' END AS q_ok FROM conversations),
 c AS (SELECT conv_id, count(*) AS request_count, CAST(coalesce(sum(CASE WHEN one THEN 1 ELSE 2 END) FILTER (t_ok AND q_ok), 0) AS BIGINT) AS response_entries, count(*) FILTER (t_ok AND q_ok) AS response_entries_with_script, bool_and(t_ok AND q_ok) AS fine FROM r GROUP BY 1)
 SELECT conv_id AS log_id, request_count, response_entries, response_entries_with_script, CASE WHEN conv_id % 11 = 5 THEN 'wrong direction' WHEN NOT fine THEN 'one nonempty string per input is required' WHEN response_entries_with_script = 0 THEN 'no translation in the target script' END AS error FROM c""",
     "model_page_parse": """SELECT event_id AS page_id, event_id % 8 IN (0, 1, 3, 4) AS ok, CASE WHEN event_id % 8 IN (0, 1, 3, 4) THEN 1 ELSE 0 END::BIGINT AS lines, CASE WHEN event_id % 8 IN (0, 1, 3, 4) THEN 1 ELSE 0 END::BIGINT AS tables,
