@@ -23,6 +23,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 STARTS = 16
 STEPS = 80
+#: The dual is solved when no source is off by more than this share of its words; else the query fails.
+TOLERANCE = 1e-10
 
 
 def words_in(text: Column) -> Column:
@@ -53,7 +55,7 @@ def source_table(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame
 
 
 def balanced_rate(total: Column, target: Column, cap: int) -> Column:
-    """exp of the dual solution, to nine decimals."""
+    """exp of the dual solution, to nine decimals; an error where STEPS do not reach TOLERANCE."""
 
     def step(x, _):
         mass = total * F.exp(x)  # the Hessian; the gradient is mass - target
@@ -61,7 +63,9 @@ def balanced_rate(total: Column, target: Column, cap: int) -> Column:
 
     solved = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step)
     rate = F.floor(F.exp(solved) * 1e9 + 0.5) / F.lit(1e9)
-    return F.when((total > 0) & (target > 0), F.least(rate, F.lit(float(cap)))).otherwise(F.lit(0.0))
+    solved_well = F.abs(total * F.exp(solved) - target) <= total * TOLERANCE
+    checked = F.when(solved_well, F.least(rate, F.lit(float(cap)))).otherwise(F.raise_error(F.lit("entropy balancing did not converge")).cast("double"))
+    return F.when((total > 0) & (target > 0), checked).otherwise(F.lit(0.0))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
