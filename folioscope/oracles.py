@@ -47,13 +47,13 @@ PAIRS = """pairs AS (SELECT * FROM (SELECT conv_id, turn, text AS reference,
 # ------------------------------------------------------------ tables
 CELLS = """cells{n} AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, (l_linenumber - 1) // 2 AS row_, (l_linenumber - 1) % 2 AS col_,
   CASE WHEN l_partkey % 9 = {n} THEN 2 ELSE 1 END AS cs, trim(concat_ws(' ', l_returnflag, CASE WHEN l_suppkey % 7 = {n} THEN 'x' END, l_linestatus)) AS text FROM {src})"""
-ONCE = """lines_once AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) = 1)"""
-TABLE_SCORE = f"""WITH {ONCE}, {CELLS.format(n=0, src='lines_once')}, {CELLS.format(n=1, src='lines_once')}, p AS (SELECT * FROM cells1 WHERE pos <> 3),
+IN_ORDER = """in_order AS (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS l_linenumber) FROM lineitem)"""
+TABLE_SCORE = f"""WITH {IN_ORDER}, {CELLS.format(n=0, src='in_order')}, {CELLS.format(n=1, src='in_order')}, p AS (SELECT * REPLACE (CASE WHEN pos = 3 THEN row_ + 500 ELSE row_ END AS row_) FROM cells1),
 j AS (SELECT t.table_id, t.cs, t.text AS expected, coalesce(p.text, '') AS got, p.cs AS pcs FROM cells0 t LEFT JOIN p ON t.table_id = p.table_id AND t.row_ = p.row_ AND t.col_ = p.col_),
 a AS (SELECT table_id, count(*) FILTER (expected = got) AS cell_exact, count(*) AS cell_total, CAST(sum(length(expected)) AS BIGINT) AS reference_characters,
   CAST(sum(levenshtein(expected, got)) AS BIGINT) AS character_edits, count(*) FILTER (cs = pcs) AS matching_cell_spans FROM j GROUP BY 1),
 m AS (SELECT coalesce(t.table_id, p.table_id) AS table_id, count(*) FILTER (t.pos IS NOT NULL AND p.pos IS NOT NULL) AS tp, count(*) FILTER (t.pos IS NULL) AS fp, count(*) FILTER (p.pos IS NULL) AS fn
-  FROM (SELECT * FROM cells0 WHERE cs > 1) t FULL JOIN (SELECT * FROM p WHERE cs > 1) p ON t.table_id = p.table_id AND t.pos = p.pos GROUP BY 1),
+  FROM (SELECT * FROM cells0 WHERE cs > 1) t FULL JOIN (SELECT * FROM p WHERE cs > 1) p ON t.table_id = p.table_id AND t.pos = p.pos AND t.row_ = p.row_ GROUP BY 1),
 n AS (SELECT table_id, count(*) AS k FROM p GROUP BY 1)
 SELECT table_id, cell_exact, cell_total, reference_characters, character_edits, character_edits / CAST(reference_characters AS DOUBLE) AS cer, matching_cell_spans,
   coalesce(k, 0) AS predicted_cells, coalesce(tp, 0) AS true_positive, coalesce(fp, 0) AS false_positive, coalesce(fn, 0) AS false_negative
@@ -66,11 +66,11 @@ SELECT table_id, CASE WHEN outside THEN 'cell span outside table' WHEN twins THE
 BOXES = """boxes AS (SELECT vec_id, [x, y, x + abs(CAST(embedding[3] AS DOUBLE) + 1) * 0 + abs((CAST(embedding[3] AS DOUBLE) + 1) * 400) / 2, y + abs((CAST(embedding[4] AS DOUBLE) + 1) * 400) / 2 - 40] AS b
   FROM (SELECT *, (CAST(embedding[1] AS DOUBLE) + 1) * 400 AS x, (CAST(embedding[2] AS DOUBLE) + 1) * 400 AS y FROM embeddings))"""
 BOX_OK = "b[1] >= 0 AND b[1] < b[3] AND b[3] <= {w} AND b[2] >= 0 AND b[2] < b[4] AND b[4] <= {h}"
-GEOMETRY = f"""WITH {ONCE}, c AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, (l_linenumber - 1) * 100.0 AS top,
-  l_linenumber * 100.0 - CASE WHEN l_partkey % 11 = 0 THEN 30.0 WHEN l_partkey % 7 = 0 THEN 1.0 ELSE 0.0 END AS bottom FROM lines_once),
-t AS (SELECT table_id, max(pos) AS n, count(*) AS k FROM c GROUP BY 1),
+GEOMETRY = """WITH c AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, (l_linenumber - 1) * 100.0 AS top,
+  l_linenumber * 100.0 - CASE WHEN l_partkey % 11 = 0 THEN 30.0 WHEN l_partkey % 7 = 0 THEN 1.0 ELSE 0.0 END AS bottom FROM lineitem),
+t AS (SELECT table_id, max(pos) AS n, count(*) AS k, count(DISTINCT pos) AS places FROM c GROUP BY 1),
 e AS (SELECT c.table_id, bool_or(abs(d.top - c.bottom) > n * 100.0 * 0.02) AS off FROM c JOIN t USING (table_id) LEFT JOIN c d ON c.table_id = d.table_id AND d.pos = c.pos + 1 GROUP BY 1)
-SELECT table_id, NOT coalesce(off, false) AND n = k AS topology_valid FROM t JOIN e USING (table_id)"""
+SELECT table_id, NOT coalesce(off, false) AND n = k AND n = places AS topology_valid FROM t JOIN e USING (table_id)"""
 
 # ------------------------------------------------------------ policy
 PRIORITY = """CASE WHEN event_id % 64 // 8 % 2 = 1 THEN 0 WHEN event_id % 64 // 4 % 2 = 1 OR event_id % 4 = 3 THEN 1 WHEN event_id % 64 // 16 % 2 = 1 THEN 2 END"""
@@ -192,9 +192,9 @@ UNION ALL SELECT path, (page_id + 10) || '.md', 'missing or private relative lin
     "set_ops": f"WITH {FILES} SELECT 'self' AS kind, true AS same UNION ALL SELECT 'manifest', NOT EXISTS ((SELECT path FROM actual EXCEPT SELECT path FROM listed) UNION ALL (SELECT path FROM listed EXCEPT SELECT path FROM actual))",
     "line_counts": f"WITH {SENTENCES} SELECT conv_id AS doc_id, count(*) AS lines FROM s GROUP BY 1",
     "translation_coverage": f"""WITH {SENTENCES}, q AS (SELECT conv_id, turn, role, length(t) AS n, t, row_number() OVER (PARTITION BY conv_id, turn ORDER BY 1) AS k FROM s),
-f AS (SELECT conv_id, turn, role, string_split_regex(text, '\\. ')[1] AS t FROM conversations),
+f AS (SELECT conv_id, turn, role, string_split_regex(text, '\\. ')[1] AS t, text || CASE WHEN turn % 4 = 1 THEN '字' ELSE '' END AS cell FROM conversations),
 l AS (SELECT conv_id, count(*) AS n FROM s WHERE length(t) % 3 = 0 GROUP BY 1),
-o AS (SELECT conv_id, count(*) FILTER (role = 'user' AND length(t) % 3 = 0) AS n, count(*) FILTER (role <> 'user' AND turn % 2 = 1) AS raw, count(*) FILTER (role <> 'user' AND turn % 4 = 1) AS cells, count(*) AS pages FROM f GROUP BY 1)
+o AS (SELECT conv_id, count(*) FILTER (role = 'user' AND length(t) % 3 = 0) AS n, count(*) FILTER (role <> 'user' AND turn % 2 = 1) AS raw, count(*) FILTER (role <> 'user' AND regexp_matches(cell, '{HAN}')) AS cells, count(*) AS pages FROM f GROUP BY 1)
 SELECT conv_id AS doc_id, pages AS page_count, coalesce(l.n, 0) + o.n + raw AS nonempty_translated_entries, coalesce(l.n, 0) + o.n + raw AS translated_entries_with_script, cells AS current_cells_with_script FROM o LEFT JOIN l USING (conv_id)""",
     "response_log": """WITH r AS (SELECT conv_id, turn % 2 = 0 OR conv_id % 7 <> 3 AS t_ok, turn % 2 = 0 AS one, CASE WHEN turn % 2 = 0 THEN trim(text) <> '' ELSE trim(substr(text, 1, 4)) <> '' AND trim(substr(text, 5)) <> '' END AS q_ok FROM conversations),
 c AS (SELECT conv_id, count(*) AS request_count, CAST(coalesce(sum(CASE WHEN one THEN 1 ELSE 2 END) FILTER (t_ok AND q_ok), 0) AS BIGINT) AS response_entries, count(*) FILTER (t_ok AND q_ok) AS response_entries_with_script, bool_and(t_ok AND q_ok) AS fine FROM r GROUP BY 1)

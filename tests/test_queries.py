@@ -73,3 +73,12 @@ def test_geometry_of_all_lines(spark, tmp_path):
     rows = [(t, i, part.get((t, i), 1), 1, 1.0, "A", "F") for t in (1, 2, 3, 4) for i in range(1, 8)] + [(5, i, 1, 1, 1.0, "A", "F") for i in (1, 2, 3, 4, 6)]
     sf = write(spark, rows, line, tmp_path, "lineitem")
     assert {r["table_id"]: r["topology_valid"] for r in queries.table_geometry(spark, sf).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_lines_that_repeat_a_number(spark, tmp_path):
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    rows = [(1, i, 2, 2, 1.0, "A", "F") for i in (1, 2, 3)] + [(2, i, 2, 2, 1.0, "A", "F") for i in (1, 2, 2)] + [(3, i, 2, 2, 1.0, "A", "F") for i in (1, 1, 3, 3, 3)]
+    sf = write(spark, rows, line, tmp_path, "lineitem")
+    assert {r["table_id"]: r["topology_valid"] for r in queries.table_geometry(spark, sf).collect()} == {1: True, 2: False, 3: False}
+    # all lines are true and predicted cells; the third predicted one is elsewhere
+    assert {r["table_id"]: (r["cell_exact"], r["cell_total"], r["predicted_cells"]) for r in queries.table_score(spark, sf).collect()} == {1: (2, 3, 3), 2: (2, 3, 3), 3: (4, 5, 5)}
