@@ -409,6 +409,60 @@ def test_classifiers(spark):
     assert spans and all(s["end"] > s["start"] for s in spans)
 
 
+def test_quality_learns_from_all_rows(spark, monkeypatch):
+    """Edges, weights and threshold against plain counts over every training row, of which the good ones are more than 6000."""
+    rng = random.Random(12)
+    rows, label = [], {}
+    for i in range(11_000):
+        label[i] = int(rng.random() < 0.9)
+        odd = 0.25 if label[i] else 0.4  # the classes overlap
+        rows.append((i, " ".join(rng.choice(["lamp", "stone", "a", "running"]) + (rng.choice("%#.,") * 2 if rng.random() < odd else "") for _ in range(rng.randint(4, 30)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    own = [i for i in label if zlib.crc32(str(i).encode()) % 3 != 1]
+    y = np.array([label[i] for i in own])
+    bad = int((y == 0).sum())
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 1000, raising=False)
+    got = rows_by_id(quality.classify(docs, labels))
+    score = np.sort([got[i]["score"] for i in own])
+    assert (y == 1).sum() > 6000 and score[bad - 1] <= 0.5 <= score[bad]
+    ranker = quality.train(docs, labels, common.fold_of(F.col("__id"), 3) != 1)
+    texts = [rows[i][1].encode() for i in own]
+    x = quality.features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for c, edges in zip(x.T, ranker.edges):
+        assert edges.tolist() == np.unique(np.quantile(c, np.arange(1, quality.BINS) / quality.BINS, method="inverted_cdf")).tolist()
+    on = np.zeros((len(x), ranker.begin[-1]))
+    np.put_along_axis(on, np.stack([np.searchsorted(e, c, "right") + k for e, c, k in zip(ranker.edges, x.T, ranker.begin)], 1), 1, 1)
+    scale = on[y == 1].mean(0) + on[y == 0].mean(0) + 50 / 60_000
+
+    def slope(w):  # over all pairs, one by one
+        s = on @ w
+        wrong = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+        return (wrong.mean(0) @ on[y == 0] / bad) - (wrong.mean(1) @ on[y == 1] / (y == 1).sum()) + 2 * quality.RIDGE * scale * w
+
+    size = [np.sqrt((g * g / scale).sum()) for g in (slope(ranker.weights), slope(0 * ranker.weights))]
+    assert size[0] <= 1.01 * quality.CLOSE * size[1]
+    s = np.sort((on @ ranker.weights).astype(np.float32).astype(float))
+    assert abs(ranker.threshold - (s[bad - 1] + s[bad]) / 2) < 1e-6 and abs(ranker.width - s.std() / 4) < 1e-6
+
+
+def test_quality_scores_at_places(spark):
+    """The radix search against a plain sort, with negative scores, ties and counts."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (300, quality.WIDTH)).astype(np.float32)
+    y, n = rng.integers(0, 2, 300), rng.integers(1, 4, 300)
+    rows = spark.createDataFrame([(int(a), r.tobytes(), int(k)) for a, r, k in zip(y, x, n)], "label int, x binary, n long")
+    edges = quality.bin_edges(rows, int(n.sum()))
+    every = np.repeat(x, n, axis=0)
+    assert all(e.tolist() == np.unique(np.quantile(c, np.arange(1, quality.BINS) / quality.BINS, method="inverted_cdf")).tolist() for c, e in zip(every.T, edges))
+    ranker = quality.Ranker(0.5, edges)
+    ranker.weights = rng.normal(size=ranker.begin[-1]).round(1)
+    s = np.sort(ranker.raw(every))
+    pairs = quality.Pairs(quality.blocks_of(rows, ranker, 300), ranker, int(n[y == 0].sum()), int(n[y == 1].sum()))
+    for k in (0, 1, 7, len(s) // 2, len(s) - 2):
+        assert pairs.ranked(ranker.weights, [k, k + 1]) == s[k : k + 2].tolist()
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
