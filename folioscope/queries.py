@@ -25,6 +25,11 @@ def modulo(c: str, n: int):
     return F.col(c) % n
 
 
+def spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows of few bytes and much work on all cores: a scan parts its tasks by bytes and row groups, so that a small file of many rows is one task."""
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # ---------------------------------------------------------------- routing
 def pages_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
@@ -136,7 +141,7 @@ def check_rollup(spark, sf):
 def turn_pairs(spark, sf) -> DataFrame:
     line = Window.partitionBy("conv_id").orderBy("turn")
     c = load(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("reference"), F.lead("text").over(line).alias("prediction"))
-    return c.filter("prediction is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    return spread(spark, c.filter("prediction is not null"))
 
 
 @query
@@ -369,7 +374,7 @@ def wrapped_lines(spark, sf):
 
 
 def fit_boxes(spark, sf) -> DataFrame:
-    p = load(spark, sf, "part")
+    p = spread(spark, load(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     return p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"), (F.col("p_size") * 6).cast("double").alias("width_pt"), (10 + modulo("p_partkey", 40)).cast("double").alias("height_pt"), (8 + modulo("p_partkey", 5)).cast("double").alias("base_size"))
 
 

@@ -3,8 +3,11 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from folioscope import queries
 from folioscope.functions import literals, text
+from folioscope.operators import layout
 from test_text import plain_edit_counts
 
 
@@ -82,3 +85,44 @@ def test_lines_that_repeat_a_number(spark, tmp_path):
     assert {r["table_id"]: r["topology_valid"] for r in queries.table_geometry(spark, sf).collect()} == {1: True, 2: False, 3: False}
     # all lines are true and predicted cells; the third predicted one is elsewhere
     assert {r["table_id"]: (r["cell_exact"], r["cell_total"], r["predicted_cells"]) for r in queries.table_score(spark, sf).collect()} == {1: (2, 3, 3), 2: (2, 3, 3), 3: (4, 5, 5)}
+
+
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+def plain_fit(text, width_pt, height_pt, size, most):
+    """The first of lines, size, tracking and scale that fits: (text, size, scale, tracking, lines, width, fits)."""
+    width, end = max(4.0, width_pt - 0.5), 0.0
+    for lines in range(1, most + 1):
+        cut = layout.broken(text, lines, size, 0.52)
+        parts = cut.split("\n")
+        unit = [layout._width(p, 1.0, 0.52) * 1.04 for p in parts]
+        for font in (size, size - 0.25, size - 0.5):
+            if len(parts) * font * 1.15 <= height_pt + 0.01:
+                for tracking in layout.TRACKING:
+                    raw = max(u * font + (len(p) - 1) * tracking for u, p in zip(unit, parts))
+                    end = raw * layout.SCALES[-1]
+                    for scale in layout.SCALES:
+                        if raw * scale <= width + 1.25:
+                            return cut, font, scale, tracking, len(parts), raw * scale, True
+    return cut, size - 0.5, layout.SCALES[-1], layout.TRACKING[-1], len(parts), end, False
+
+
+def parts_in_one_file(spark, folder):
+    words = ("hot", "small", "ring", "bolt-5", "a", "reinforced")
+    rows = [(i, " ".join(words[(i * k) % 6] for k in range(1, 3 + i % 5)), f"Brand#{i % 30}", "LARGE", 1 + i * 7 % 50, 1.0) for i in range(120)]
+    spark.createDataFrame(rows, PART).coalesce(1).write.parquet(f"{folder}/part.parquet")
+    boxes = {r[0]: (f"{r[1]} {r[2]} {r[3]}", r[4] * 6.0, 10.0 + r[0] % 40, 8.0 + r[0] % 5) for r in rows}
+    assert len({min(3, plain_fit(*b, 3)[4]) * plain_fit(*b, 3)[6] for b in boxes.values()}) == 4  # none, one, two, three lines
+    return str(folder), boxes
+
+
+def test_boxes_of_one_file_are_fitted_on_all_cores(spark, tmp_path):
+    sf, boxes = parts_in_one_file(spark, tmp_path)
+    assert queries.fit_boxes(spark, sf).select(F.spark_partition_id()).distinct().count() == 4
+    fit = layout.copy_fit(queries.fit_boxes(spark, sf).withColumn("max_lines", F.lit(3))).collect()
+    for r in fit:
+        want = plain_fit(*boxes[r["id"]], 3)
+        assert (r["text"], r["line_count"], r["fits"]) == (want[0], want[4], want[6])
+        assert max(abs(r[c] - w) for c, w in (("font_size", want[1]), ("width_scale", want[2]), ("tracking_pt", want[3]), ("required_width_pt", want[5]))) < 1e-9
+    assert len(fit) == len(boxes) == queries.copy_fit_multi(spark, sf).count()
