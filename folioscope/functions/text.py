@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 # Fixed values -------------------------------------------------------------
 #: Unicode white space as a Java class: ASCII space, the four separators, next line, and the Unicode space categories.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -28,6 +33,8 @@ SECRETS = (
     r"\bgithub_pat_[A-Za-z0-9_]{40,}\b",
     r"\bAKIA[A-Z0-9]{16}\b",
 )
+#: Bits of columns that an alignment keeps for its way back.
+KEPT_BITS = 1 << 26
 LINK = r'!?\[[^\]]*\]\((<[^>]+>|[^\s)]+)(?:\s+"[^"]*")?\)'
 # --------------------------------------------------------------------------
 
@@ -65,41 +72,74 @@ def critical_reading(c) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(CHANGE), F.lit(0))
 
 
+def _advance(places: dict[str, int], text: str, up: int, down: int, full: int, keep: list | None = None) -> tuple[int, int]:
+    """up and down after the columns of text: bits of the rows whose distance is one above and one below that of the row before.
+
+    keep takes (zero, up) of each column; zero: bits of the rows whose distance is that of their upper left neighbour.
+    """
+    for c in text:
+        same = places.get(c, 0)
+        zero = (((same & up) + up ^ up) | same | down) & full
+        right = (down | full ^ (zero | up)) << 1 | 1
+        up, down = ((zero & up) << 1 | ~(zero | right)) & full, zero & right
+        if keep is not None:
+            keep.append((zero, up))
+    return up, down
+
+
+def aligned(reference: str, prediction: str) -> tuple[int, int]:
+    """Edits and critical errors: distances a column of bits at a time, then one way back through them.
+
+    The way back keeps the bits of KEPT_BITS / len(reference) columns, or of as many as there are blocks of them if that is more, and computes earlier
+    blocks anew from the columns at their borders.
+    """
+    n, m = len(reference), len(prediction)
+    while n and m and reference[n - 1] == prediction[m - 1]:  # a common end is aligned with itself
+        n, m = n - 1, m - 1
+    if not n or not m:
+        return n + m, sum(c in CRITICAL for c in reference[:n])
+    bits: dict[str, bytearray] = {}
+    for i, c in enumerate(reference[:n]):
+        bits.setdefault(c, bytearray(n + 7 >> 3))[i >> 3] |= 1 << (i & 7)
+    places = {c: int.from_bytes(b, "little") for c, b in bits.items()}
+    full = (1 << n) - 1
+    block = max(math.isqrt(m) + 1, KEPT_BITS // n)
+    starts = range(0, m, block)
+    weighty = bool(bits.keys() & set(CRITICAL))
+    borders, state, kept = [], (full, 0), []
+    for start in starts:
+        borders.append(state)
+        state = _advance(places, prediction[start : min(start + block, m)], *state, full, kept if weighty and start == starts[-1] else None)
+    edits = m + state[0].bit_count() - state[1].bit_count()
+    if not weighty:
+        return edits, 0
+    i, j, start, critical = n, m, starts[-1], 0
+    while i and j:
+        if j == start:
+            start, kept = start - block, []
+            _advance(places, prediction[start:j], *borders[start // block], full, kept)
+        c, (zero, up) = reference[i - 1], kept[j - start - 1]
+        if c == prediction[j - 1]:
+            i, j = i - 1, j - 1
+        elif not zero >> (i - 1) & 1:  # replaced
+            critical, i, j = critical + (c in CRITICAL), i - 1, j - 1
+        elif up >> (i - 1) & 1:  # lost
+            critical, i = critical + (c in CRITICAL), i - 1
+        else:
+            j -= 1
+    return edits, critical + sum(c in CRITICAL for c in reference[:i])
+
+
 @F.pandas_udf(T.StructType([T.StructField("edits", T.IntegerType()), T.StructField("critical_errors", T.IntegerType())]))
 def _edit_counts(references: pd.Series, predictions: pd.Series) -> pd.DataFrame:
-    weighty = np.array(sorted(map(ord, CRITICAL)), np.uint32)
-    edit, lost, added = 1 << 34, 1 << 32, 2 << 32  # a cell: edits, two bits for the way, critical errors
-    out = []
-    for reference, prediction in zip(references, predictions):
-        if reference is None or prediction is None:
-            out.append((None, None))
-            continue
-        a, b = (np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (reference, prediction))
-        n, m, back = len(a), len(b), b[::-1]
-        loss = edit + np.isin(a, weighty).astype(np.int64)  # of a character of the reference that is replaced or lost
-        before = last = np.zeros(n + 1, np.int64)  # by characters of the reference: the two diagonals before
-        for k in range(1, n + m + 1):
-            row = np.empty(n + 1, np.int64)
-            if k <= m:
-                row[0] = k * edit
-            if k <= n:
-                row[k] = last[k - 1] + loss[k - 1]
-            lo, hi = max(1, k - m), min(n, k - 1) + 1
-            if lo < hi:
-                best = before[lo - 1 : hi - 1] + (a[lo - 1 : hi - 1] != back[m - k + lo : m - k + hi]) * loss[lo - 1 : hi - 1]
-                np.minimum(best, last[lo - 1 : hi - 1] + loss[lo - 1 : hi - 1] + lost, out=best)
-                np.minimum(best, last[lo:hi] + (edit + added), out=best)
-                row[lo:hi] = best & ~(lost | added)
-            before, last = last, row
-        out.append((int(last[n]) >> 34, int(last[n]) & (lost - 1)))
+    out = [(None, None) if a is None or b is None else aligned(a, b) for a, b in zip(references, predictions)]
     return pd.DataFrame(out, columns=["edits", "critical_errors"]).astype("Int32")
 
 
 def edit_counts(reference, prediction) -> Column:
     """struct(edits, critical_errors) of one alignment: on ties a substitution, then a loss, then an insertion.
 
-    A critical character of the reference that is replaced or lost is an error; an insertion never is. The matrix is
-    filled by its diagonals, three of which are alive at a time.
+    A critical character of the reference that is replaced or lost is an error; an insertion never is.
     """
     return _edit_counts(_col(reference), _col(prediction))
 

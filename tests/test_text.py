@@ -1,5 +1,7 @@
 import random
+import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.functions import literals, text
@@ -50,6 +52,24 @@ def test_critical_edits_against_plain_matrix(spark):
     assert all(tuple(r["e"]) == plain_edit_counts(r["a"], r["b"]) for r in got)
 
 
+def test_alignment_in_blocks(monkeypatch):
+    rng = random.Random(5)
+    for bits in (text.KEPT_BITS, 8, 40):  # few bits: the way back computes block after block anew
+        monkeypatch.setattr(text, "KEPT_BITS", bits)
+        for _ in range(300):
+            a, b = ("".join(rng.choice("ab1.+-Ø±中\U0001f600") for _ in range(rng.randint(0, 25))) for _ in "ab")
+            assert text.aligned(a, b) == plain_edit_counts(a, b)
+
+
+def test_alignment_of_many_turns_takes_few_steps():
+    rng = random.Random(6)
+    a, b = (pd.Series(["".join(rng.choice("abcdefghij .-") for _ in range(400)) for _ in range(600)]) for _ in "ab")
+    began = time.process_time()
+    counts = text._edit_counts.func(a, b)
+    assert time.process_time() - began < 2.5
+    assert tuple(counts.iloc[7]) == plain_edit_counts(a[7], b[7])
+
+
 def test_widths(one):
     assert one(text.character_width(F.lit("a 中."), 10.0, 0.5)) == 5 + 2.8 + 10 + 4.2
     assert one(text.line_width(F.lit("中"), 10.0, 0.5)) == 10 * 1.06
