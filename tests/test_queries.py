@@ -126,3 +126,13 @@ def test_boxes_of_one_file_are_fitted_on_all_cores(spark, tmp_path):
         assert (r["text"], r["line_count"], r["fits"]) == (want[0], want[4], want[6])
         assert max(abs(r[c] - w) for c, w in (("font_size", want[1]), ("width_scale", want[2]), ("tracking_pt", want[3]), ("required_width_pt", want[5]))) < 1e-9
     assert len(fit) == len(boxes) == queries.copy_fit_multi(spark, sf).count()
+
+
+def test_single_lines_of_one_file_are_fitted_on_all_cores(spark, tmp_path):
+    sf, boxes = parts_in_one_file(spark, tmp_path)
+    fit = queries.copy_fit_single(spark, sf).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in fit}) == 4 and sorted(r["id"] for r in fit) == sorted(boxes)
+    for r in fit:
+        want = plain_fit(*boxes[r["id"]], 1)
+        assert (r["text"], r["line_count"], r["fits"]) == (want[0], want[4], want[6])
+        assert max(abs(r[c] - w) for c, w in (("font_size", want[1]), ("width_scale", want[2]), ("tracking_pt", want[3]), ("required_width_pt", want[5]))) < 1e-9
