@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -45,6 +46,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: the optimizer puts a column's expression wherever the column is named, into lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c) -> Column:
     return F.regexp_replace(_col(c), rf"^{SPACE}+|{SPACE}+\z", "")
 

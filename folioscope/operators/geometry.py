@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import strip
+from folioscope.functions.text import bound, strip
 
 # The limits of a table and the share of its box by which a shared edge may differ; the model's coordinate space.
 MOST_ROWS, MOST_COLS, EDGE_SHARE, SPACE_SIZE = 200, 100, 0.02, 1000
@@ -85,14 +85,52 @@ def table_topology(tables: DataFrame, cells: DataFrame, width: float = SPACE_SIZ
     return out.select("table_id", F.coalesce(valid, F.lit(False)).alias("topology_valid"))
 
 
+def nested_topology(table: Column, width: float = SPACE_SIZE, height: float = SPACE_SIZE) -> Column:
+    """topology_valid, as table_topology finds it, of a struct (rows, cols, bbox, cells) that holds its own cells: within its row, by one sort
+    of the boundaries that cells name. Slots and boundaries are listed only when the cells are as large together as the grid, which has limits."""
+    rows, cols, frame, cells = (table[k] for k in ("rows", "cols", "bbox", "cells"))
+    at = lambda box, i: F.get(box, F.lit(i))
+    frame_ok = F.coalesce(rows.between(1, MOST_ROWS) & cols.between(1, MOST_COLS), F.lit(False)) & box_valid(frame, width, height)
+
+    def good(c: Column) -> Column:
+        inside = (c["row"] >= 0) & (c["col"] >= 0) & (c["rowspan"] >= 1) & (c["colspan"] >= 1) & (c["row"] <= rows - c["rowspan"]) & (c["col"] <= cols - c["colspan"])
+        held = (at(c["bbox"], 0) >= at(frame, 0)) & (at(c["bbox"], 1) >= at(frame, 1)) & (at(c["bbox"], 2) <= at(frame, 2)) & (at(c["bbox"], 3) <= at(frame, 3))
+        return F.coalesce(inside, F.lit(False)) & box_valid(c["bbox"], width, height) & F.coalesce(held, F.lit(False))
+
+    def slots(c: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(c["row"], c["row"] + c["rowspan"] - 1), lambda r: F.sequence(r * cols + c["col"], r * cols + c["col"] + c["colspan"] - 1)))
+
+    def edges(c: Column, pos: Column) -> Column:
+        name = lambda axis, index, v, k: F.struct(F.lit(axis).alias("axis"), index.alias("index"), pos.alias("pos"), F.lit(k).alias("k"), v.alias("v"))
+        return F.array(name(0, c["col"] + 0, at(c["bbox"], 0), 0), name(0, c["col"] + c["colspan"], at(c["bbox"], 2), 1), name(1, c["row"] + 0, at(c["bbox"], 1), 2), name(1, c["row"] + c["rowspan"], at(c["bbox"], 3), 3))
+
+    def agree(e: Column) -> Column:
+        same = lambda a, b: (a["axis"] == b["axis"]) & (a["index"] == b["index"])
+        extent = lambda a: F.when(a["axis"] == 0, at(frame, 2) - at(frame, 0)).otherwise(at(frame, 3) - at(frame, 1))
+        drift = F.exists(F.sequence(F.lit(1), F.size(e) - 1), lambda i: same(F.get(e, i), F.get(e, i - 1)) & (F.abs(F.get(e, i)["v"] - F.get(e, i - 1)["v"]) > extent(F.get(e, i)) * EDGE_SHARE))
+        last = F.filter(e, lambda x, i: (i == F.size(e) - 1) | ~same(x, F.get(e, i + 1)))
+        return ~drift & bound(last, rise)
+
+    def rise(last: Column) -> Column:
+        there = (F.size(last) == rows + cols + 2) & (F.size(F.filter(last, lambda x: x["axis"] == 0)) == cols + 1)
+        return there & F.forall(F.sequence(F.lit(1), F.size(last) - 1), lambda i: (F.get(last, i)["axis"] != F.get(last, i - 1)["axis"]) | (F.get(last, i)["v"] > F.get(last, i - 1)["v"]))
+
+    area = F.aggregate(cells, F.lit(0).cast("long"), lambda n, c: n + c["rowspan"] * c["colspan"])
+    whole = F.size(F.array_distinct(F.flatten(F.transform(cells, slots)))) == rows * cols
+    valid = F.when(frame_ok & (F.size(cells) > 0) & F.forall(cells, good), F.when(area == rows * cols, whole & bound(F.sort_array(F.flatten(F.transform(cells, edges))), agree)))
+    return F.coalesce(valid, F.lit(False))
+
+
 # ---------------------------------------------------------------- model output
 def unwrap_json(text: Column) -> Column:
     """A strict JSON object, alone or in one presentation fence, as a variant; else null."""
-    plain = strip(text)
-    fenced = plain.startswith("```json\n") & plain.endswith("```")
-    inner = strip(F.substring(plain, F.lit(9), F.greatest(F.length(plain) - 11, F.lit(0))))
-    value = F.try_parse_json(F.when(fenced, inner).otherwise(plain))
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+    def inner(plain: Column) -> Column:
+        fenced = plain.startswith("```json\n") & plain.endswith("```")
+        return F.when(fenced, strip(F.substring(plain, F.lit(9), F.greatest(F.length(plain) - 11, F.lit(0))))).otherwise(plain)
+
+    # what parses and begins so is an object; the schema of the whole page is not needed
+    return bound(bound(strip(text), inner), lambda json: F.when(json.startswith("{"), F.try_parse_json(json)))
 
 
 def _kind(v: Column) -> Column:
@@ -149,15 +187,14 @@ class Pages:
         good_item = lambda x: x["text"].isNotNull() & good_box(x["bbox"])
         ok = F.forall("regions", good_item) & F.forall("tables", lambda t: good_box(t["bbox"]) & F.coalesce(F.forall(t["cells"], good_item), F.lit(False)))
         data = data.withColumn("ok", F.coalesce(F.col("regions").isNotNull() & F.col("tables").isNotNull() & ok, F.lit(False)))
+        data = data.withColumn("topologies", F.when(F.col("ok"), F.transform("tables", lambda t: nested_topology(t))))
         self.parsed = data = keep(data)
         sound = data.filter("ok")
         place = lambda b: scale_box(b, F.col("width"), F.col("height"))
         self.lines = sound.select("page_id", "width", "height", F.posexplode("regions").alias("pos", "r")).select("page_id", "pos", F.col("r.text").alias("text"), place(F.col("r.bbox")).alias("bbox"))
-        tables = sound.select("page_id", "width", "height", F.posexplode("tables").alias("pos", "t")).withColumn("table_id", F.struct("page_id", "pos"))
+        tables = sound.select("page_id", "width", "height", "topologies", F.posexplode("tables").alias("pos", "t")).withColumn("table_id", F.struct("page_id", "pos"))
         cells = tables.select("table_id", "width", "height", F.posexplode("t.cells").alias("pos", "c")).select("table_id", "width", "height", "pos", "c.*")
-        topology = table_topology(tables.select("table_id", "t.rows", "t.cols", "t.bbox"), cells)
         self.cells = cells.withColumn("bbox", place(F.col("bbox"))).drop("width", "height")
-        self.tables = tables.select("table_id", "page_id", "pos", F.col("t.rows").alias("rows"), F.col("t.cols").alias("cols"), place(F.col("t.bbox")).alias("bbox")).join(topology, "table_id")
-        issues = self.tables.groupBy("page_id").agg(F.count_if(~F.col("topology_valid")).alias("issues"))
+        self.tables = tables.select("table_id", "page_id", "pos", F.col("t.rows").alias("rows"), F.col("t.cols").alias("cols"), place(F.col("t.bbox")).alias("bbox"), F.get("topologies", F.col("pos")).alias("topology_valid"))
         size = lambda c: F.when(F.col("ok"), F.size(c)).otherwise(F.lit(0))
-        self.pages = data.select("page_id", "ok", size("regions").alias("lines"), size("tables").alias("tables")).join(issues, "page_id", "left").withColumn("issues", F.coalesce("issues", F.lit(0)).cast("long"))
+        self.pages = data.select("page_id", "ok", size("regions").alias("lines"), size("tables").alias("tables"), size(F.filter("topologies", lambda v: ~v)).cast("long").alias("issues"))

@@ -529,14 +529,14 @@ def response_log(spark, sf):
 @query
 def model_page_parse(spark, sf):
     """Pages of model output made from events: whole ones, fenced ones, bad boxes, bad topology, no objects."""
-    e = load(spark, sf, "events")
+    e = spread(spark, load(spark, sf, "events").select("event_id"))
     k = F.col("event_id") % 8
     v = (F.col("event_id") % 90).cast("string")
     region = F.concat(F.lit('{"text":"r'), v, F.lit('","bbox":[0,0,'), F.when(k == 2, "1200").otherwise(F.concat(F.lit("1"), v)), F.lit(",500]}"))
     table = F.concat(F.lit('{"bbox":[0,0,100,100],"rows":1,"cols":2,"cells":[{"row":0,"col":0,"rowspan":1,"colspan":1,"bbox":[0,0,'), F.when(k == 3, "20").otherwise("50"), F.lit(',100],"text":"a"},{"row":0,"col":'), F.when(k == 4, "1.0").otherwise("1"), F.lit(',"rowspan":1,"colspan":1,"bbox":[50,0,100,100],"text":"b"}]}'))
     page = F.concat(F.lit('{"regions":['), region, F.lit('],"tables":'), F.when(k == 5, "null").otherwise(F.concat(F.lit("["), table, F.lit("]"))), F.lit("}"))
     raw = F.when(k == 1, F.concat(F.lit("```json\n"), page, F.lit("```"))).when(k == 6, F.concat(F.lit("x"), page)).when(k == 7, F.lit("[1]")).otherwise(page)
-    pages = geometry.Pages(e.select(F.col("event_id").alias("page_id"), raw.alias("text"), F.lit(2000).alias("width"), F.lit(1000).alias("height"))).pages
+    pages = geometry.Pages(e.select(F.col("event_id").alias("page_id"), raw.alias("text"), F.lit(2000).alias("width"), F.lit(1000).alias("height")), keep=lambda parsed: parsed).pages  # one result, nothing to share
     return pages.select("page_id", "ok", F.col("lines").cast("long").alias("lines"), F.col("tables").cast("long").alias("tables"), "issues")
 
 

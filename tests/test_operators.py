@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -84,6 +85,37 @@ def test_pages(spark):
     assert line["text"] == "Ø 5" and line["bbox"] == [200.0, 100.0, 600.0, 200.0]
 
 
+def test_pages_judge_their_own_tables(spark):
+    """A page's tables as table_topology finds them from rows of cells; a page that comes twice has its own issues each time."""
+    rng = random.Random(3)
+
+    def table():
+        rows, cols, cells = rng.randint(1, 3), rng.randint(1, 3), []
+        for r in range(rows):
+            c = 0
+            while c < cols:
+                span = rng.randint(1, cols - c)
+                near = lambda v: min(900, max(0, v + rng.choice((0,) * 12 + (3, 40))))  # noqa: B023, E731
+                cells.append({"row": r, "col": c, "rowspan": 1 + (rng.random() < 0.05), "colspan": span, "bbox": [near(300 * c), near(300 * r), near(300 * (c + span)), near(300 * (r + 1))], "text": "x"})
+                c += span
+        if rng.random() < 0.2:
+            cells.append(dict(rng.choice(cells), text="again"))
+        if rng.random() < 0.1:
+            cells.pop()
+        return {"bbox": [0, 0, 900, 900], "rows": rows, "cols": cols, "cells": rng.sample(cells, len(cells)) if rng.random() < 0.5 else cells}
+
+    texts = [json.dumps({"regions": [], "tables": [table() for _ in range(rng.randint(0, 3))]}) for _ in range(150)]
+    p = geometry.Pages(spark.createDataFrame([(i, t, 2000, 1000) for i, t in enumerate(texts)], "page_id int, text string, width int, height int"))
+    t = p.parsed.filter("ok").select("page_id", F.posexplode("tables").alias("pos", "t")).select(F.struct("page_id", "pos").alias("table_id"), "t.*")
+    want = {tuple(r[0]): r[1] for r in geometry.table_topology(t, t.select("table_id", F.posexplode("cells").alias("pos", "c")).select("table_id", "pos", "c.*")).collect()}
+    got = {tuple(r["table_id"]): r["topology_valid"] for r in p.tables.collect()}
+    assert got == want and 20 < sum(got.values()) < len(got) - 20
+    bad = next(t for i, t in enumerate(texts) if not all(v for k, v in got.items() if k[0] == i))
+    twice = geometry.Pages(spark.createDataFrame([(1, bad, 2000, 1000), (1, bad, 2000, 1000), (1, "[]", 2000, 1000)], "page_id int, text string, width int, height int"), keep=lambda d: d).pages.collect()
+    issues = sum(not v for k, v in got.items() if k[0] == texts.index(bad))
+    assert sorted((r["ok"], r["issues"]) for r in twice) == [(False, 0), (True, issues), (True, issues)]
+
+
 def test_policy(one):
     risk = lambda *names: one(policy.risk_priority(F.array(*map(F.lit, names)).cast("array<string>")))
     assert risk("needs_review") is None and risk("positioned_candidate_conflict") < risk("dimension_symbol_completeness_unverified")
